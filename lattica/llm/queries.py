@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import sentencepiece_codec, token_counts
+from lattica.llm import packing, sentencepiece_codec, token_counts
 from lattica.llm.common import table
 
 
@@ -27,9 +27,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_report(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), end_id=1, most=2048)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op7_token_counts": op7_token_counts,
+    "op9_packing": op9_packing,
 }
 
 #: DuckDB SQL where SQL can express the operator.

@@ -34,8 +34,8 @@ from lattica.llm.common import in_portions, vocabulary
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # stands for a space
 _NONE = np.iinfo(np.int64).max
-#: Distinct words whose identifiers a worker keeps; about 150 MB.
-CACHED_WORDS = 600_000
+#: Distinct words whose identifiers a worker keeps; about 250 MB.
+CACHED_WORDS = 1_000_000
 
 
 class PieceCodec:
