@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import packing, sentencepiece_codec, token_counts
+from lattica.llm import packing, quality, secrets, sentencepiece_codec, token_counts
 from lattica.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), "quality")
+    scored = quality.with_scores(documents.withColumn("held_out", quality.held_out()), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counted = encoded.select(
@@ -27,6 +34,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_report(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(secrets.of_kinds("spans", kind)).cast("long")
+    base = F.array_join(secrets.of_kinds("spans", "assign", "access", "hex"), ",")
+    return scanned.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), end_id=1, most=2048)
     return pieces.select(
@@ -35,8 +56,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_token_counts": op7_token_counts,
+    "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
 }
 
