@@ -28,15 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "/tmp/lattica-checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder: lineage ends there and survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet in the shared folder and read again.
+
+    Lineage ends there, and the files outlive lost executors; they stay until the shared
+    folder is cleared.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "durable")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

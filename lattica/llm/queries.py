@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import packing, quality, secrets, sentencepiece_codec, token_counts
+from lattica.llm import packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts
 from lattica.llm.common import table
 
 
@@ -28,6 +28,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substring_dedup.dedup(documents)
+    return cleaned.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_report(table(spark, sf_dir, "documents"), limit=512)
 
@@ -56,6 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
