@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts
-from lattica.llm.common import table
+from lattica.llm import minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc
+from lattica.llm.common import scratch_path, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), archives)
+    return warc.page_report(warc.reassembled(warc.read_records(spark, archives)))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_report(table(spark, sf_dir, "documents"), limit=512)
 
@@ -68,10 +74,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to,
+               true AS complete
+        FROM f
+    """,
+}
