@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc
+from lattica.llm import ann, minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc
 from lattica.llm.common import scratch_path, table
 
 
@@ -69,6 +69,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.search(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
+    "op10_ann": op10_ann,
 }
 
 #: DuckDB SQL where SQL can express the operator.
