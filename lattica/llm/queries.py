@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import ann, minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc
+from lattica.llm import ann, imatch, minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc
 from lattica.llm.common import scratch_path, table
 
 
@@ -32,6 +32,27 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lex = imatch.lexicon(documents)
+    half = F.expr("cast(n_chars div 2 as int)")
+    paired = imatch.with_next_text(documents).withColumn("n_chars", F.char_length("text").cast("long"))
+    edited = paired.withColumn(
+        "edited",
+        F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)),
+    )
+    marked = imatch.with_fingerprints(edited, lex, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    return marked.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        imatch.like("fingerprint", "edited_fingerprint").alias("near_edited"),
+        imatch.like("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = substring_dedup.dedup(documents)
@@ -78,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_imatch": op4_imatch,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
