@@ -142,6 +142,7 @@ def with_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str]) ->
             return fingerprint(np.unique(np.array(found, np.int64)), text)
 
         for texts in batches:
+            texts = (texts,) if isinstance(texts, pd.Series) else texts  # one column comes by itself
             yield pd.DataFrame({f"f{i}": [one(t) for t in column] for i, column in enumerate(texts)})
 
     both = df.withColumn("_f", run(*[F.col(c).cast("string") for c in columns]))
