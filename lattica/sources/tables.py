@@ -77,8 +77,8 @@ SQL = {
     "panel": "SELECT p_partkey AS feature, p_type AS class FROM part UNION SELECT p_partkey, 'S' || (p_size % 7) FROM part",
     "terms": "SELECT p_brand AS term, p_partkey AS feature FROM part",
     "taxonomy": "SELECT 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'R' || r_regionkey, 'ROOT' FROM region",
-    "first_events": "SELECT user_id, event_type, min(row(ts, event_id)) AS at FROM events GROUP BY 1, 2",
-    "votes": "SELECT x.event_type AS a, y.event_type AS b, count(*) AS votes FROM first_events x JOIN first_events y USING (user_id) WHERE x.at < y.at GROUP BY 1, 2",
+    "first_events": "SELECT user_id, event_type, min(row(ts, event_id)) AS seen FROM events GROUP BY 1, 2",
+    "votes": "SELECT x.event_type AS a, y.event_type AS b, count(*) AS votes FROM first_events x JOIN first_events y USING (user_id) WHERE x.seen < y.seen GROUP BY 1, 2",
     "precedence": "SELECT v.a, v.b, v.votes FROM votes v LEFT JOIN votes w ON v.a = w.b AND v.b = w.a WHERE v.votes > coalesce(w.votes, 0)",
     "vectors": "SELECT vec_id AS obs, embedding::DOUBLE[] AS vec, label AS grp FROM embeddings",
     "call_sums": "SELECT obs, p_type AS label, sum(value) AS value FROM counts JOIN part ON p_partkey = feature GROUP BY 1, 2",
