@@ -115,8 +115,8 @@ def records_of(page_id, url: str | None, payload: bytes, digest: str, refers_to,
             yield _record([*fields, ("WARC-Segment-Total-Length", len(block) if last else None)], part)
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_a_file: int = RECORDS_A_FILE) -> None:
-    """Writes ``pages`` (page_id, url, html) as WARC files below ``path``."""
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_a_file: int = RECORDS_A_FILE, compression: str = "gzip") -> None:
+    """Writes ``pages`` (page_id, url, html) as WARC files below ``path``, each compressed as a whole (or "none")."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     records = rows.mapInArrow(build, "record binary")
     # A string column holds any bytes; the line separator closes each record.
     text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).option("compression", compression).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
