@@ -9,11 +9,13 @@
    enters the lists of its rarest values only, as many as leave out at most
    ``LEAST_SHARED`` - 1: values that a passage spreads over many documents come last and
    make no lists.  Sets too small for that use the exact bound on set overlap instead.
-3. In each list a few hubs meet the other nodes; the sketch of the union filters what they
-   meet, and the exact Jaccard similarity of full sets verifies it.  Nodes that are linked
-   already needn't meet again.  Rounds with ever more hubs go on until every list lies within
-   one component or all its pairs have met, so no link between different components is
-   missed and a list of m near copies costs about m meetings, not m squared.
+3. Lists are joined in steps that leave ever fewer nodes to meet, for nodes of one component
+   needn't: first each list's least node meets those whose longest list it is, through the
+   union-sketch filter and the exact check; then, in each node's longest lists, the nodes
+   outside the commonest component meet all others exactly, in blocks of bounded size that
+   give links alone, never pairs; last, pairs that share some list but were in no such list
+   together are filtered by their union sketch and verified by exact Jaccard similarity.  So
+   no link between different components is missed.
 4. Components form by hooking to the least neighbour and pointer jumping over tables in the
    shared folder; nothing is gathered on the driver.
 
@@ -36,21 +38,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lattica.llm.common import Memo, durable
 
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 24
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: In lists up to this size all nodes meet at once; in longer ones hubs grow by this factor.
-SMALL_LIST, MORE_HUBS = 24, 16
+#: Of its lists a node's longest ones are its homes, where it meets all others exactly, in
+#: blocks of so many nodes.
+HOMES, BLOCK = 3, 1_024
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 @functools.lru_cache(maxsize=1)
 def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 600_000)
+    return Memo(xxhash.xxh3_64_intdigest, 300_000)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -158,7 +162,7 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _lists(nodes: DataFrame) -> DataFrame:
-    """(value, node): the inverted lists that nodes enter, of two nodes or more."""
+    """(value, node, held): the inverted lists that nodes enter, of ``held`` nodes, two or more."""
     retained = nodes.select("node", "n_shingles", F.size("sketch").alias("retained"), F.explode("sketch").alias("value"))
     counts = retained.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = retained.join(counts, "value")
@@ -172,27 +176,82 @@ def _lists(nodes: DataFrame) -> DataFrame:
         .where("most > 0")
     )
     entered = mine.select("node", F.explode(F.slice("held", F.lit(1), F.col("most"))).alias("x")).select("node", "x.value")
-    met = entered.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("value")
+    met = entered.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     return entered.join(met, "value")
 
 
-def _met(lists: DataFrame, labels: DataFrame, done: DataFrame | None, slots: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs that meet this round, and the lists that stay for later rounds."""
-    marked = lists.join(labels, "node")
-    state = marked.groupBy("value").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest")
-    live = durable(marked.join(state.select("value", "held"), "value"))
-    small = live.where(F.col("held") <= SMALL_LIST)
-    slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-    hubs = live.where(F.col("held") > SMALL_LIST).groupBy("value", slot.alias("slot")).agg(F.min(F.struct("node", "label")).alias("h")).select("value", "h.node", "h.label")
-    a = lambda df: df.select("value", F.col("node").alias("a"), F.col("label").alias("la"))
-    b = lambda df: df.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-    few = a(small).join(b(small), "value").where("a < b and la != lb")
-    many = a(hubs).join(b(live.where(F.col("held") > SMALL_LIST)), "value").where("la != lb")
-    pairs = few.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if done is not None:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    rest = live.where(F.col("held") > SMALL_LIST).select("value", "node").join(hubs.select("value", "node"), ["value", "node"], "left_anti")
-    return durable(pairs), durable(rest)
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes have different labels."""
+    return _over_labels(pairs, labels).where("la != lb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
+def _first_links(entered: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after each list's least node has met those whose first home the list is."""
+    hubs = entered.where("home = 1").groupBy("value").agg(F.min("node").alias("a"))
+    pairs = entered.where("home = 1").join(hubs, "value").where("a < node").select("a", F.col("node").alias("b"))
+    linked = durable(_verified(_likely(pairs, nodes), texts))
+    return components(_over_labels(linked, labels), labels)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that pass the union-sketch filter."""
+    sa = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    sb = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    return durable(pairs.join(sb, "b").join(sa, "a").where(_may_link()).select("a", "b"))
+
+
+def _links_between(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Exact links between rows of different labels of two blocks, one for each node and label met.
+
+    Rows of the commonest label needn't meet each other; every other row meets the whole
+    other block at once, its shingles looked up in one table.
+    """
+    found: set[tuple[int, int]] = set()
+    if len(left) and len(right):
+        both = pd.concat([left[["label"]], right[["r_label"]].rename(columns={"r_label": "label"})])["label"]
+        common = both.value_counts().sort_index().idxmax()
+        sides = []
+        for df, p in ((left, ""), (right, "r_")):
+            sets = [shingles(t) for t in df[f"{p}text"]]
+            sides.append((df[f"{p}node"].to_numpy(), df[f"{p}label"].to_numpy(), sets))
+        values = np.unique(np.concatenate([x for _, _, sets in sides for x in sets]))
+        table = np.zeros(len(values) + 1, bool)
+
+        def meet(mine, theirs, skip_uncommon: bool) -> None:
+            nodes, labels, sets = theirs
+            use = np.flatnonzero(labels == common) if skip_uncommon else np.arange(len(nodes))
+            if not len(use):
+                return
+            sizes = np.array([len(sets[i]) for i in use])
+            flat = np.searchsorted(values, np.concatenate([sets[i] for i in use]))
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            for node, label, own in zip(*mine):
+                if label == common:
+                    continue
+                at = np.searchsorted(values, own)
+                table[at] = True
+                shared = np.add.reduceat(table[flat], starts, dtype=np.int64)
+                table[at] = False
+                hit = np.flatnonzero((100 * shared >= PERCENT * (len(own) + sizes - shared)) & (labels[use] != label))
+                for k in dict(zip(labels[use][hit].tolist(), hit.tolist())).values():
+                    other = int(nodes[use[k]])
+                    found.add((min(int(node), other), max(int(node), other)))
+
+        meet(sides[0], sides[1], False)
+        meet(sides[1], sides[0], True)
+    return pd.DataFrame({"a": pd.Series([x for x, _ in found], dtype="int64"), "b": pd.Series([y for _, y in found], dtype="int64")})
+
+
+def _home_links(entered: DataFrame, home: int, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Exact links between different labels within each list that is its nodes' ``home``-th, in blocks."""
+    rows = entered.where(F.col("home") == home).select("value", "node").join(labels, "node")
+    state = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.join(state.select("value", blocks.alias("blocks")), "value").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    full = durable(dealt.join(texts, "node").select("value", "blocks", "block", "node", "label", "text"))
+    left = full.select("value", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "node", "label", "text")
+    right = full.select(F.col("value").alias("r_value"), F.explode(F.expr("sequence(0, block)")).alias("r_i"), F.col("block").alias("r_j"), F.col("node").alias("r_node"), F.col("label").alias("r_label"), F.col("text").alias("r_text"))
+    return durable(left.groupBy("value", "i", "j").cogroup(right.groupBy("r_value", "r_i", "r_j")).applyInPandas(_links_between, "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -207,25 +266,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     wanted = members.join(nodes.select("node", "set_id", "lead"), "node")
     base = documents.select(F.col("doc_id").alias("lead"), F.col("text").cast("string").alias("text"))
     texts = durable(_texts(wanted, base))
-    sketches = nodes.select("node", "n_shingles", "sketch")
-    done: DataFrame | None = None
-    slots = 1
-    while not lists.isEmpty():
-        pairs, rest = _met(lists, labels, done, slots)
-        sa = sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        sb = sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        likely = pairs.join(sa, "a").join(sb, "b").where(_may_link())
-        shared = F.size(F.array_intersect("sa", "sb"))
-        likely = durable(likely.select("a", "b", shared.alias("shared")))
-        # First each node's likeliest partner, then what still lies between components.
-        best = likely.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-        linked = durable(_verified(best, texts))
-        labels = components(_over_labels(linked, labels), labels)
-        between = _over_labels(likely, labels).where("la != lb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        linked = durable(_verified(between, texts))
-        labels = components(_over_labels(linked, labels), labels)
-        done = pairs if done is None else durable(done.unionByName(pairs))
-        lists, slots = rest, slots * MORE_HUBS
+    by = Window.partitionBy("node").orderBy(F.desc("held"), "value")
+    entered = durable(lists.withColumn("home", F.row_number().over(by)))
+    if not members.isEmpty():
+        labels = _first_links(entered, nodes, texts, labels)
+        for home in range(1, HOMES + 1):
+            labels = components(_over_labels(_home_links(entered, home, texts, labels), labels), labels)
+        rest = durable(_likely(_rest(entered, labels), nodes))
+        labels = components(_over_labels(durable(_verified(rest, texts)), labels), labels)
     leaders = nodes.select("node", "set_id", "lead").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = leaders.groupBy("label").agg(F.min("lead").alias("component_id"))
     of_set = leaders.join(least, "label").select("set_id", "component_id")
@@ -234,6 +282,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _rest(entered: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different labels in a common list that have shared no home."""
+    homes = [F.max(F.when(F.col("home") == h, F.col("value"))).alias(f"h{h}") for h in range(1, HOMES + 1)]
+    marked = entered.join(labels, "node").join(entered.groupBy("node").agg(*homes), "node")
+    state = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
+    live = durable(marked.join(state, "value").select("value", "node", "label", *[f"h{h}" for h in range(1, HOMES + 1)]))
+    other = live.select("value", *[F.col(c).alias(f"r_{c}") for c in live.columns[1:]])
+    met = F.lit(False)
+    for h in range(1, HOMES + 1):
+        met = met | F.coalesce(F.col(f"h{h}") == F.col(f"r_h{h}"), F.lit(False))
+    pairs = live.join(other, "value").where((F.col("node") < F.col("r_node")) & (F.col("label") != F.col("r_label")) & ~met)
+    return pairs.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
+
+
 def _over_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes with their labels: na, nb (nodes), la, lb; a and b are the labels."""
     la = labels.select(F.col("node").alias("na"), F.col("label").alias("la"))

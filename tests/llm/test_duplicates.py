@@ -62,8 +62,8 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_near_duplicates_meet_in_rounds(spark, monkeypatch):
-    """Long lists whose hubs are unlike many of their members still lose no link."""
-    monkeypatch.setattr(minhash, "SMALL_LIST", 2)
+    """Long lists whose hubs are unlike many of their members still lose no link, in several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     rng = random.Random(4)
     base = words(rng, 120)
     texts = []
