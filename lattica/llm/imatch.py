@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +36,13 @@ from lattica.llm.common import Memo, durable
 
 #: The band: terms of at least 1 and at most 50 documents in a thousand (and two at least).
 LEAST_SHARE, MOST_SHARE = 0.001, 0.05
-SUBSETS, HEX_DIGITS = 64, 4
+SUBSETS, HEX_DIGITS = 32, 4
 BROADCAST_TERMS = 2_000_000
 _PARTIAL_TERMS = 250_000
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_SEEDS = (np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+#: One draw of 64 bits serves four subsets, 16 bits each.
+_SEEDS = np.arange(1, SUBSETS // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _STRIP = b".,;:!?\"'()[]|"
 
 
@@ -93,16 +95,17 @@ def fingerprint(hashes: np.ndarray, text: str | None) -> str:
     if not len(hashes):
         return "text:" + xxhash.xxh3_128_hexdigest((text or "").encode())
     h = hashes.view(np.uint64)
-    level = max(1, math.ceil(math.log2(len(h) + 1)))
-    drawn = _mixed(h[None, :] ^ _SEEDS)
+    level = min(14, max(1, math.ceil(math.log2(len(h) + 1))))
+    drawn = _mixed(h[:, None] ^ _SEEDS).view(np.uint16)
     value = _mixed(h)
     parts = []
     for rate in (level, level + 1):
-        within = drawn < np.uint64(2 ** (64 - rate))
-        sums = (within * value[None, :]).sum(axis=1, dtype=np.uint64)
-        short = _mixed(sums + np.uint64(1)) >> np.uint64(64 - 4 * HEX_DIGITS)
-        short = np.where(within.any(axis=1), np.maximum(short, np.uint64(1)), np.uint64(0))
-        parts.append(f"{rate}:" + "".join(f"{s:0{HEX_DIGITS}x}" for s in short.tolist()))
+        term, subset = np.nonzero(drawn < 1 << (16 - rate))
+        sums, some = np.zeros(SUBSETS, np.uint64), np.zeros(SUBSETS, bool)
+        np.add.at(sums, subset, value[term])
+        some[subset] = True
+        short = np.maximum(_mixed(sums) >> np.uint64(64 - 4 * HEX_DIGITS), np.uint64(1))
+        parts.append(f"{rate}:" + np.where(some, short, np.uint64(0)).astype(">u8").view(np.uint8).reshape(SUBSETS, 8)[:, 8 - HEX_DIGITS // 2 :].tobytes().hex())
     return ",".join(parts)
 
 
@@ -125,28 +128,41 @@ def likeness(a: str, b: str) -> float:
     return equal / either if either else 0.0
 
 
-def with_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``df`` with a fingerprint column for each text column: ``columns`` maps text to output."""
-    outputs = list(columns.values())
+def with_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str], likenesses: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``df`` with a fingerprint column for each text column: ``columns`` maps text to output.
+
+    ``likenesses`` maps further outputs to two fingerprint columns each, of the outputs or of
+    ``df``; they are compared in the same pass.
+    """
+    outputs, likenesses = list(columns.values()), likenesses or {}
     if lex.count() > BROADCAST_TERMS:
-        return _joined_fingerprints(df, lex, columns)
+        out = _joined_fingerprints(df, lex, columns)
+        return out.withColumns({o: like(*pair) for o, pair in likenesses.items()})
     known = df.sparkSession.sparkContext.broadcast(np.array([r[0] for r in lex.toLocalIterator()], np.int64))
+    present = sorted({c for pair in likenesses.values() for c in pair} - set(outputs))
+    fields = [f"f{i} string" for i in range(len(outputs))] + [f"l{i} double" for i in range(len(likenesses))]
 
-    @F.pandas_udf(", ".join(f"f{i} string" for i in range(len(outputs))))
+    @F.pandas_udf(", ".join(fields))
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         inside = set(known.value.tolist())
-        own = Memo(lambda t: h if (h := _as_long(t)) in inside else None, 500_000)
+        own = Memo(lambda t: h if (h := _as_long(t)) in inside else None, 300_000)
 
         def one(text: str | None) -> str:
             found = [h for h in map(own.__getitem__, terms(text)) if h is not None]
             return fingerprint(np.unique(np.array(found, np.int64)), text)
 
-        for texts in batches:
-            texts = (texts,) if isinstance(texts, pd.Series) else texts  # one column comes by itself
-            yield pd.DataFrame({f"f{i}": [one(t) for t in column] for i, column in enumerate(texts)})
+        for given in batches:
+            given = (given,) if isinstance(given, pd.Series) else given  # one column comes by itself
+            made = {o: [one(t) for t in column] for o, column in zip(outputs, given)}
+            all_columns = made | dict(zip(present, given[len(outputs) :]))
+            result = {f"f{i}": made[o] for i, o in enumerate(outputs)}
+            for i, (a, b) in enumerate(likenesses.values()):
+                result[f"l{i}"] = [likeness(x, y) for x, y in zip(all_columns[a], all_columns[b])]
+            yield pd.DataFrame(result)
 
-    both = df.withColumn("_f", run(*[F.col(c).cast("string") for c in columns]))
-    return both.withColumns({o: F.col(f"_f.f{i}") for i, o in enumerate(outputs)}).drop("_f")
+    both = df.withColumn("_f", run(*[F.col(c).cast("string") for c in columns], *[F.col(c) for c in present]))
+    named = {o: F.col(f"_f.f{i}") for i, o in enumerate(outputs)} | {o: F.col(f"_f.l{i}") for i, o in enumerate(likenesses)}
+    return both.withColumns(named).drop("_f")
 
 
 def _joined_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -178,16 +194,18 @@ def like(a: str, b: str) -> Column:
     return _likeness(F.col(a), F.col(b))
 
 
-def with_next_text(documents: DataFrame, out_col: str = "next_text") -> DataFrame:
+def with_next_text(documents: DataFrame, out_col: str = "next_text", carried: str | None = None) -> DataFrame:
     """(doc_id, text) with the text of the next document by ascending doc_id, after the last the first.
 
+    A ``carried`` string column comes along, and the next document's as next_ and its name.
     Documents go to ranges of their identifiers, cut at quantiles, once; the first of each
     range is also sent to the range before.  Only range bounds come to the driver.  Rows
     without an identifier come last; rows that share one follow each other by their texts.
     """
     spark = documents.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([carried] if carried else []))
+    more = [carried] if carried else []
     cuts = sorted(set(rows.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []))
     cut_at = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     span = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(cut_at, lambda c: c <= F.col("doc_id"))))
@@ -198,19 +216,22 @@ def with_next_text(documents: DataFrame, out_col: str = "next_text") -> DataFram
     extra = F.create_map(*[F.lit(x) for k, s in before.items() if k is not None for x in (int(k), s)]) if set(before) - {None} else F.create_map().cast("map<bigint,int>")
     back = F.when(F.col("doc_id").isNull(), F.lit(before.get(None))).otherwise(F.element_at(extra, F.col("doc_id")))
     places = F.array_compact(F.array(F.struct(F.col("span").alias("span"), F.lit(False).alias("tail")), F.when(back.isNotNull(), F.struct(back.cast("int").alias("span"), F.lit(True).alias("tail")))))
-    sent = ranged.select("doc_id", "text", F.explode(places).alias("p")).select("p.span", "p.tail", "doc_id", "text")
+    sent = ranged.select("doc_id", "text", *more, F.explode(places).alias("p")).select("p.span", "p.tail", "doc_id", "text", *more)
     placed = sent.repartition(ranges, "span").sortWithinPartitions("span", "tail", F.col("doc_id").asc_nulls_last(), "text")
 
+    names = ["doc_id", "text", out_col, *(x for c in more for x in (c, f"next_{c}"))]
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for the next one: span, doc_id, text
+        held = None  # the last row waits for the next batch
         for batch in batches:
-            ids, texts, following = [], [], []
-            for span, tail, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is not None and held[0] == span:
-                    ids.append(held[1])
-                    texts.append(held[2])
-                    following.append(text)
-                held = None if tail else (span, i, text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(following, pa.string())], names=["doc_id", "text", out_col])
-
-    return placed.mapInArrow(pair, f"doc_id long, text string, {out_col} string")
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            held = pa.RecordBatch.from_pydict({c: batch.column(c)[batch.num_rows - 1 :] for c in batch.schema.names}, schema=batch.schema)
+            now, after = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+            joined = pc.and_(pc.invert(now.column("tail")), pc.equal(now.column("span"), after.column("span")))
+            columns = [now.column("doc_id"), now.column("text"), after.column("text"), *(x for c in more for x in (now.column(c), after.column(c)))]
+            yield from pa.table(columns, names=names).filter(joined).combine_chunks().to_batches(max_chunksize=2_000)
+
+    fields = [f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names]
+    return placed.mapInArrow(pair, ", ".join(fields))

@@ -36,20 +36,25 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     lex = imatch.lexicon(documents)
     half = F.expr("cast(n_chars div 2 as int)")
-    paired = imatch.with_next_text(documents).withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = paired.withColumn(
-        "edited",
-        F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)),
+    marked = imatch.with_fingerprints(documents, lex, {"text": "fingerprint"})
+    paired = imatch.with_next_text(marked, carried="fingerprint").withColumn("n_chars", F.char_length("text").cast("long"))
+    edited = paired.select(
+        "doc_id",
+        "n_chars",
+        F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
+        "fingerprint",
+        "next_fingerprint",
     )
-    marked = imatch.with_fingerprints(edited, lex, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
-    return marked.select(
+    near = {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")}
+    compared = imatch.with_fingerprints(edited, lex, {"edited": "edited_fingerprint"}, near)
+    return compared.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        imatch.like("fingerprint", "edited_fingerprint").alias("near_edited"),
-        imatch.like("fingerprint", "next_fingerprint").alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 
