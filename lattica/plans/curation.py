@@ -72,11 +72,11 @@ def fallback_key_join(spark, d):
 
 
 @query("repeated_key_align", """
-    WITH l AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer WHERE c_custkey <= 200),
+    WITH l AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer),
     r AS (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier)
     SELECT k, c_custkey, s_suppkey FROM l JOIN r USING (k) WHERE l.c <> r.c OR l.n = r.n""")
 def repeated_key_align(spark, d):
-    left = T.table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    left = T.table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey")
     right = T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
     return L.align_repeats(left, right, "k", "c_custkey", "s_suppkey")
 
@@ -167,12 +167,12 @@ def set_distinct_shared(spark, d):
     return L.distinct_shared(T.panel(spark, d), "S1", foil)
 
 
-_AFTER = "after AS (SELECT feature, class FROM panel WHERE feature % 50 <> 0 UNION SELECT feature + 1, class FROM panel WHERE feature % 50 = 0)"
+_AFTER = "after AS (SELECT feature, class FROM panel WHERE class <> 'S6' UNION SELECT feature + 1, class FROM panel WHERE class = 'S6')"
 
 
 def _after(spark, d):
     p = T.panel(spark, d)
-    return p.where("feature % 50 != 0").union(p.where("feature % 50 = 0").select(F.col("feature") + 1, "class")).distinct()
+    return p.where("class != 'S6'").union(p.where("class = 'S6'").select(F.col("feature") + 1, "class")).distinct()
 
 
 @query("panel_diff", with_inputs(f"+{_AFTER} SELECT feature, class, 'added' AS change FROM (FROM after EXCEPT FROM panel) UNION ALL SELECT feature, class, 'dropped' FROM (FROM panel EXCEPT FROM after)", "panel"))
@@ -265,8 +265,8 @@ def evidence_agrees(spark, d):
     return R.evidence_agrees(labels, tied, _members(spark, d))
 
 
-@query("cells_by_label", with_inputs("""+ n AS (SELECT coalesce(CASE WHEN obs % 10 > 0 THEN label END, 'unassigned') AS label, count(*) AS n FROM cells LEFT JOIN calls USING (obs) GROUP BY 1)
+@query("cells_by_label", with_inputs("""+ n AS (SELECT coalesce(CASE WHEN c_acctbal >= 0 THEN label END, 'unassigned') AS label, count(*) AS n FROM customer LEFT JOIN calls ON obs = c_custkey GROUP BY 1)
     SELECT label, n, row_number() OVER (ORDER BY label = 'unassigned', n DESC, label) AS position FROM n""", "cells", "calls"))
 def cells_by_label(spark, d):
-    joined = T.cells(spark, d).join(T.calls(spark, d), "obs", "left")
-    return R.cells_by_label(joined.withColumn("label", F.when(F.col("obs") % 10 > 0, F.col("label"))))
+    joined = T.table(spark, d, "customer").select(F.col("c_custkey").alias("obs"), "c_acctbal").join(T.calls(spark, d), "obs", "left")
+    return R.cells_by_label(joined.withColumn("label", F.when(F.col("c_acctbal") >= 0, F.col("label"))))

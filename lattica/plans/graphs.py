@@ -43,23 +43,23 @@ def nearest_shared_class(spark, d):
     return G.nearest_shared(t.where("child like 'N%'").select(F.col("child").alias("id")), G.closure(t))
 
 
-@query("lca_of_parts", recursive(_UP + """, parts AS (SELECT DISTINCT c_mktsegment || (c_custkey % 40) AS label, 'N' || c_nationkey AS id FROM customer WHERE c_custkey % 3 = 0),
+@query("lca_of_parts", recursive(_UP + """, parts AS (SELECT DISTINCT c_mktsegment || (c_custkey % 40) AS label, 'N' || c_nationkey AS id FROM customer),
     b AS (SELECT anc, count(*) AS below FROM anc GROUP BY 1), n AS (SELECT label, count(DISTINCT id) AS parts FROM parts GROUP BY 1),
     h AS (SELECT label, anc, count(DISTINCT id) AS held FROM parts JOIN anc USING (id) GROUP BY 1, 2)
     SELECT label, arg_min(anc, row(below, anc)) AS anc FROM h JOIN n USING (label) JOIN b USING (anc) WHERE held = parts GROUP BY 1""", "taxonomy"))
 def lca_of_parts(spark, d):
-    c = T.table(spark, d, "customer").where("c_custkey % 3 = 0")
+    c = T.table(spark, d, "customer")
     parts = c.select(F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("label"), F.concat(F.lit("N"), "c_nationkey").alias("id")).distinct()
     return G.common_ancestor(parts, G.closure(T.taxonomy(spark, d)))
 
 
-_STATED = "+ e AS (SELECT DISTINCT least(c_nationkey % 9, p_size % 9) AS a, greatest(c_nationkey % 9, p_size % 9) AS b FROM customer JOIN part ON p_partkey = c_custkey WHERE c_nationkey % 9 <> p_size % 9 AND c_custkey <= 40)"
+_STATED = "+ e AS (SELECT DISTINCT least(c_nationkey, p_size) AS a, greatest(c_nationkey, p_size) AS b FROM customer JOIN part ON p_partkey = c_custkey WHERE c_nationkey <> p_size)"
 
 
 def _edges(spark, d):
-    """A small acyclic graph: from the smaller to the larger of two residues."""
-    x, y = F.col("c_nationkey") % 9, F.col("p_size") % 9
-    j = T.table(spark, d, "customer").where("c_custkey <= 40").join(T.table(spark, d, "part"), F.col("p_partkey") == F.col("c_custkey"))
+    """An acyclic graph: from the smaller to the larger of a nation and a size."""
+    x, y = F.col("c_nationkey"), F.col("p_size")
+    j = T.table(spark, d, "customer").join(T.table(spark, d, "part"), F.col("p_partkey") == F.col("c_custkey"))
     return j.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
@@ -76,10 +76,10 @@ def transitive_reduction(spark, d):
     return G.reduction(_edges(spark, d))
 
 
-@query("cycle_detect", recursive("+ e AS (SELECT DISTINCT user_id % 12 AS a, (user_id * 5 + 1) % 17 AS b FROM events WHERE user_id < 30), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS node FROM reach WHERE a = b", "cells"))
+@query("cycle_detect", recursive("+ e AS (SELECT DISTINCT user_id % 12 AS a, (user_id * 5 + 1) % 17 AS b FROM events), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS node FROM reach WHERE a = b", "cells"))
 def cycle_detect(spark, d):
     u = F.col("user_id")
-    return G.cycles(T.table(spark, d, "events").where("user_id < 30").select((u % 12).alias("a"), ((u * 5 + 1) % 17).alias("b")).distinct())
+    return G.cycles(T.table(spark, d, "events").select((u % 12).alias("a"), ((u * 5 + 1) % 17).alias("b")).distinct())
 
 
 @query("layered_override", """SELECT user_id % 7 AS a, user_id % 11 AS b, event_type AS layer, event_id AS line FROM events WHERE user_id % 7 <> user_id % 11
@@ -95,35 +95,36 @@ def precedence_votes(spark, d):
     return T.precedence(spark, d)
 
 
-_COMP = "+ e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer WHERE c_custkey % 4 = 0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, other) AS (SELECT a, a FROM both_ways UNION SELECT w.node, x.b FROM walk w JOIN both_ways x ON x.a = w.other)"
+_COMP = "+ e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY lang, n_chars) AS b FROM documents UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY source, n_chars) FROM documents), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, other) AS (SELECT a, a FROM both_ways UNION SELECT w.node, x.b FROM walk w JOIN both_ways x ON x.a = w.other)"
 
 
 @query("connected_components", recursive(_COMP + " SELECT node, min(other) AS component FROM walk GROUP BY 1", "cells"))
 def connected_components(spark, d):
-    c = T.table(spark, d, "customer").where("c_custkey % 4 = 0")
-    return G.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_nationkey")).alias("b")))
+    """Documents of equal length that share a language or a source, over any number of steps."""
+    docs = T.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    to = lambda c: docs.groupBy(c, "n_chars").agg(F.min("doc_id").alias("b")).join(docs, [c, "n_chars"]).select(F.col("doc_id").alias("a"), "b")
+    return G.components(to("lang").union(to("source")).distinct())
 
 
-_PATHS = "+ e AS (SELECT DISTINCT c_nationkey % 4 AS a, 4 + c_nationkey % 7 AS b FROM customer WHERE c_custkey <= 30 UNION SELECT DISTINCT 4 + c_nationkey % 7, 20 + c_nationkey % 5 FROM customer WHERE c_custkey <= 25), walk(node, path) AS (SELECT DISTINCT a, [a] FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT e.b, list_append(w.path, e.b) FROM walk w JOIN e ON e.a = w.node), paths AS (SELECT array_to_string(path, ' > ') AS lineage, path FROM walk WHERE node NOT IN (SELECT a FROM e))"
+_PATHS = "+ e AS (SELECT parent AS a, child AS b FROM taxonomy), walk(node, path) AS (SELECT DISTINCT a, [a] FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT e.b, list_append(w.path, e.b) FROM walk w JOIN e ON e.a = w.node), paths AS (SELECT array_to_string(path, ' > ') AS lineage, path FROM walk WHERE node NOT IN (SELECT a FROM e))"
 
 
 def _dag(spark, d):
-    n, c = F.col("c_nationkey"), T.table(spark, d, "customer")
-    return c.where("c_custkey <= 30").select((n % 4).alias("a"), (4 + n % 7).alias("b")).union(c.where("c_custkey <= 25").select(4 + n % 7, 20 + n % 5)).distinct()
+    return T.taxonomy(spark, d).select(F.col("parent").alias("a"), F.col("child").alias("b"))
 
 
-@query("lineage_paths", recursive(_PATHS + " SELECT lineage FROM paths", "cells"))
+@query("lineage_paths", recursive(_PATHS + " SELECT lineage FROM paths", "taxonomy"))
 def lineage_paths(spark, d):
     return G.lineages(_dag(spark, d)).select(F.array_join("path", " > ").alias("lineage"))
 
 
-@query("lineage_weights", recursive(_PATHS + " SELECT class, lineage, round(1.0 / count(*) OVER (PARTITION BY class), 6) AS weight FROM (SELECT lineage, unnest(path) AS class FROM paths)", "cells"))
+@query("lineage_weights", recursive(_PATHS + " SELECT class, lineage, round(1.0 / count(*) OVER (PARTITION BY class), 6) AS weight FROM (SELECT lineage, unnest(path) AS class FROM paths)", "taxonomy"))
 def lineage_weights(spark, d):
     return r6(G.lineage_weights(G.lineages(_dag(spark, d))), "weight")
 
 
 @query("branch_points", recursive(_PATHS + """ SELECT DISTINCT x.path[len(list_filter(range(1, least(len(x.path), len(y.path)) + 1), lambda i: x.path[1:i] = y.path[1:i]))] AS class
-    FROM paths x JOIN paths y ON x.path[1] = y.path[1] AND x.lineage < y.lineage""", "cells"))
+    FROM paths x JOIN paths y ON x.path[1] = y.path[1] AND x.lineage < y.lineage""", "taxonomy"))
 def branch_points(spark, d):
     return G.branch_points(G.lineages(_dag(spark, d)))
 
