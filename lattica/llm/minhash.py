@@ -47,7 +47,7 @@ WORDS, SKETCH, LEAST_SHARED = 5, 64, 24
 PERCENT = 75
 #: Of its lists a node's longest ones are its homes, where it meets all others exactly, in
 #: blocks of so many nodes.
-HOMES, BLOCK = 3, 1_024
+HOMES, BLOCK = 6, 1_024
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -96,14 +96,24 @@ def sketch(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketch_batches, f"doc_id {id_type}, n_shingles long, set_id binary, sketch array<long>")
 
 
+def _digest(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(shingles(text).tobytes())
+
+
 @F.pandas_udf(T.BinaryType())
 def _set_id(texts: pd.Series) -> pd.Series:
-    return pd.Series([xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in texts], dtype=object)
+    return pd.Series([_digest(t) for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def _has_set(texts: pd.Series, set_ids: pd.Series) -> pd.Series:
+    """Takes columns of both sides, so it runs after their join and on few texts."""
+    return pd.Series([_digest(t) == bytes(s) for t, s in zip(texts, set_ids)], dtype=bool)
 
 
 def _texts(wanted: DataFrame, base: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes; rows that share an identifier are told apart by their sets."""
-    named = base.join(wanted.where("lead is not null"), "lead").where(_set_id("text") == F.col("set_id"))
+    named = base.join(wanted.where("lead is not null"), "lead").where(_has_set("text", "set_id"))
     unnamed = base.where("lead is null").select("text", _set_id("text").alias("set_id")).join(wanted.where("lead is null"), "set_id")
     return named.select("node", "text").unionByName(unnamed.select("node", "text"))
 
@@ -212,30 +222,37 @@ def _links_between(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         common = both.value_counts().sort_index().idxmax()
         sides = []
         for df, p in ((left, ""), (right, "r_")):
-            sets = [shingles(t) for t in df[f"{p}text"]]
-            sides.append((df[f"{p}node"].to_numpy(), df[f"{p}label"].to_numpy(), sets))
-        values = np.unique(np.concatenate([x for _, _, sets in sides for x in sets]))
+            nodes = df[f"{p}node"].to_numpy()
+            same = sides and np.array_equal(nodes, sides[0][0])
+            sets = sides[0][2] if same else [shingles(t) for t in df[f"{p}text"]]
+            earlier = np.array(df[f"{p}earlier"].tolist(), np.int64).reshape(len(df), -1)
+            sides.append((nodes, df[f"{p}label"].to_numpy(), sets, earlier))
+        values = np.unique(np.concatenate([x for side in sides for x in side[2]]))
         table = np.zeros(len(values) + 1, bool)
 
-        def meet(mine, theirs, skip_uncommon: bool) -> None:
-            nodes, labels, sets = theirs
-            use = np.flatnonzero(labels == common) if skip_uncommon else np.arange(len(nodes))
-            if not len(use):
-                return
-            sizes = np.array([len(sets[i]) for i in use])
-            flat = np.searchsorted(values, np.concatenate([sets[i] for i in use]))
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            for node, label, own in zip(*mine):
-                if label == common:
+        def meet(mine, theirs, only_common: bool) -> None:
+            nodes, labels, sets, homes = theirs
+            at_most = labels == common if only_common else np.ones(len(nodes), bool)
+            places = [np.searchsorted(values, x) for x in sets]
+            rows = np.flatnonzero(mine[1] != common)
+            for earlier in np.unique(mine[3][rows], axis=0):
+                # Nodes that shared an earlier home have met there.
+                use = np.flatnonzero(at_most & ~(homes == earlier).any(axis=1))
+                if not len(use):
                     continue
-                at = np.searchsorted(values, own)
-                table[at] = True
-                shared = np.add.reduceat(table[flat], starts, dtype=np.int64)
-                table[at] = False
-                hit = np.flatnonzero((100 * shared >= PERCENT * (len(own) + sizes - shared)) & (labels[use] != label))
-                for k in dict(zip(labels[use][hit].tolist(), hit.tolist())).values():
-                    other = int(nodes[use[k]])
-                    found.add((min(int(node), other), max(int(node), other)))
+                sizes = np.array([len(sets[i]) for i in use])
+                flat = np.concatenate([places[i] for i in use])
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                for r in rows[(mine[3][rows] == earlier).all(axis=1)]:
+                    own, label, node = mine[2][r], mine[1][r], int(mine[0][r])
+                    at = np.searchsorted(values, own)
+                    table[at] = True
+                    shared = np.add.reduceat(table[flat], starts, dtype=np.int64)
+                    table[at] = False
+                    hit = np.flatnonzero((100 * shared >= PERCENT * (len(own) + sizes - shared)) & (labels[use] != label))
+                    for k in dict(zip(labels[use][hit].tolist(), hit.tolist())).values():
+                        other = int(nodes[use[k]])
+                        found.add((min(node, other), max(node, other)))
 
         meet(sides[0], sides[1], False)
         meet(sides[1], sides[0], True)
@@ -244,13 +261,16 @@ def _links_between(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def _home_links(entered: DataFrame, home: int, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """Exact links between different labels within each list that is its nodes' ``home``-th, in blocks."""
-    rows = entered.where(F.col("home") == home).select("value", "node").join(labels, "node")
+    earlier = F.filter("homes", lambda h: h["home"] < home)
+    homes = entered.where(F.col("home") <= home).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("home", "value"))).alias("homes"))
+    placed = homes.where(F.size("homes") == home).select("node", F.element_at("homes", -1)["value"].alias("value"), F.transform(earlier, lambda h: h["value"]).alias("earlier"))
+    rows = placed.join(labels, "node")
     state = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.join(state.select("value", blocks.alias("blocks")), "value").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    full = durable(dealt.join(texts, "node").select("value", "blocks", "block", "node", "label", "text"))
-    left = full.select("value", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "node", "label", "text")
-    right = full.select(F.col("value").alias("r_value"), F.explode(F.expr("sequence(0, block)")).alias("r_i"), F.col("block").alias("r_j"), F.col("node").alias("r_node"), F.col("label").alias("r_label"), F.col("text").alias("r_text"))
+    full = durable(dealt.join(texts, "node").select("value", "blocks", "block", "node", "label", "earlier", "text"))
+    left = full.select("value", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "node", "label", "earlier", "text")
+    right = full.select(F.col("value").alias("r_value"), F.explode(F.expr("sequence(0, block)")).alias("r_i"), F.col("block").alias("r_j"), F.col("node").alias("r_node"), F.col("label").alias("r_label"), F.col("earlier").alias("r_earlier"), F.col("text").alias("r_text"))
     return durable(left.groupBy("value", "i", "j").cogroup(right.groupBy("r_value", "r_i", "r_j")).applyInPandas(_links_between, "a long, b long"))
 
 
