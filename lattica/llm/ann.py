@@ -10,7 +10,9 @@
    precision on the original vectors rank what they meet.
 
 Equal vectors in a block are kept up to the k + 1 smallest identifiers: no query can need
-more, so a vector that a large part of all rows shares costs little.
+more, so a vector that a large part of all rows shares costs little.  Repeated rows are one
+row of the index, and a query's places in a block go to different identifiers, each at the
+least distance of its vectors: copies push no neighbour out.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have
 another dimension than the sample's most common one take no part, neither do rows without an
@@ -182,18 +184,27 @@ def _compare(k: int):
             since = np.arange(len(x)) - np.maximum.accumulate(np.where(changes, np.arange(len(x)), 0))
             keep = since <= k
             x, ids = x[keep], ids[keep]
+            order = np.argsort(ids, kind="stable")
+            x, ids = x[order], ids[order]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             square = (x**2).sum(axis=1)
             q, q_ids = _stack(queries["vector"]), queries["query_id"].to_numpy()
             for at in range(0, len(q), 128):
                 some, some_ids = q[at : at + 128], q_ids[at : at + 128]
                 far = np.maximum(square + (some**2).sum(axis=1)[:, None] - 2 * some @ x.T, 0)
                 far[some_ids[:, None] == ids] = np.inf
-                last = min(k, far.shape[1]) - 1
-                bar = np.partition(far, last, axis=1)[:, last]
+                least = far if len(starts) == len(ids) else np.minimum.reduceat(far, starts, axis=1)  # of each identifier
+                last = min(k, len(starts)) - 1
+                bar = np.partition(least, last, axis=1)[:, last]
                 # All that rounding could put among the k nearest are measured exactly.
                 near = (far <= (bar + 1e-9 * (bar + square.max() + 1e-300))[:, None]) & np.isfinite(far)
                 i, j = np.nonzero(near)
                 score = np.sqrt(((some[i] - x[j]) ** 2).sum(axis=1))
+                if len(starts) < len(ids):
+                    best = np.lexsort([score, ids[j], i])
+                    i, j, score = i[best], j[best], score[best]
+                    first = np.r_[True, (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])] if len(i) else np.zeros(0, bool)
+                    i, j, score = i[first], j[first], score[first]
                 best = np.lexsort([ids[j], score, i])
                 i, j, score = i[best], j[best], score[best]
                 begins = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
@@ -209,7 +220,7 @@ def search(rows: DataFrame, is_query: Column, k: int = NEIGHBOURS, sample: int =
     """query_id, rank, vec_id, score of the k nearest found for each row of ``rows`` (vec_id, vector) that is a query."""
     spark = rows.sparkSession
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"), is_query.alias("_query"))
-    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id", "vector").agg(F.max("_query").alias("_query"))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample).select("vector").toPandas()["vector"].tolist()
     schema = "query_id long, rank int, vec_id long, score double"
     if not chosen:

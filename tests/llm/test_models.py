@@ -132,6 +132,29 @@ def test_nearest_neighbours_odd_vectors(spark):
     assert ann.search(df.where("vec_id in (0, 100)"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_copies_push_no_neighbour_out(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += rows  # every row twice
+    rows += [(7, [float(c) for c in x[0] + 0.001 * m]) for m in range(1, 30)]  # one identifier fills the nearest places of query 0
+    rows += [(9, rows[9][1])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    ids, all_x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for block_rows in (16_384, 8):
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10, block_rows=block_rows).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == {0, 20, 40}
+        for q, found in got.items():
+            d = {}
+            for i, v in zip(ids, np.sqrt(((all_x - x[q]) ** 2).sum(axis=1))):
+                if i != q:
+                    d[int(i)] = min(d.get(int(i), np.inf), float(v))
+            best = sorted((v, i) for i, v in d.items())[:10]
+            assert sorted(found) == [(n + 1, i, pytest.approx(v)) for n, (v, i) in enumerate(best)]
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 8))
