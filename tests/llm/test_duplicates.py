@@ -153,6 +153,23 @@ def test_fingerprints(spark):
     assert imatch.likeness(by[122], by[0]) == 0.0
 
 
+def test_a_large_group_of_near_copies_keeps_its_terms(spark):
+    rng = random.Random(12)
+    stop, vocabulary = words(rng, 20), [f"w{i}" for i in range(3000)]
+    base = [f"g{i}" for i in range(120)]
+    texts = [" ".join(stop + rng.sample(vocabulary, 100)) for _ in range(400)]
+    texts += [" ".join(stop + [w if rng.random() > 0.04 else rng.choice(vocabulary) for w in base]) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, "n", "l", 1) for i, t in enumerate(texts)], SCHEMA)
+    lex = imatch.lexicon(df)
+    kept = {r.term for r in lex.collect()}
+    assert {imatch._as_long(w.encode()) for w in base} <= kept
+    assert not {imatch._as_long(w.lower().encode()) for w in stop} & kept
+    by = {r.doc_id: r.f for r in imatch.with_fingerprints(df, lex, {"text": "f"}).collect()}
+    pairs = [rng.sample(range(400, 600), 2) for _ in range(200)]
+    assert np.mean([imatch.likeness(by[a], by[b]) for a, b in pairs]) > 0.6
+    assert np.mean([imatch.likeness(by[a - 400], by[b]) for a, b in pairs]) < 0.2
+
+
 @pytest.mark.parametrize("partitions", ["1", "4", "9"])
 def test_next_text_wraps_around(spark, partitions):
     was = spark.conf.get("spark.sql.shuffle.partitions")
