@@ -157,14 +157,39 @@ def blocked_top_k(queries: DataFrame, keys: DataFrame, k: int, metric: str, bloc
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("obs", "rank", "other", "score")
 
 
-def csls_top_k(points: DataFrame, k: int, hub_k: int) -> DataFrame:
-    """Top k by 2 cos - r(x) - r(y), r the mean of a point's hub_k best cosines."""
-    hubs = blocked_top_k(points, points, hub_k, "cosine").groupBy("obs").agg(F.avg("score").alias("r"))
-    near = blocked_top_k(points, points, 4 * hub_k, "cosine")
-    scored = near.join(hubs, "obs").join(hubs.select(F.col("obs").alias("other"), F.col("r").alias("r_other")), "other")
-    out = scored.withColumn("csls", 2 * F.col("score") - F.col("r") - F.col("r_other"))
+def csls_top_k(points: DataFrame, k: int, hub_k: int, block: int = 8192) -> DataFrame:
+    """Top k by 2 cos - r(x) - r(y), r the mean of a point's hub_k best cosines.
+
+    A second pass over the blocks ranks every other point, with r joined to both sides first.
+    """
+    hubs = blocked_top_k(points, points, hub_k, "cosine", block).groupBy("obs").agg(F.avg("score").alias("r"))
+    sides = held(points.join(hubs, "obs"))
+    blocks = max(1, math.ceil(sides.count() / block))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    deal = F.pmod(F.xxhash64("obs"), F.lit(blocks)).cast("int")
+    left = sides.select(deal.alias("qb"), every.alias("kb"), "obs", "vec", "r")
+    right = sides.select(every.alias("q_block"), deal.alias("k_block"), F.col("obs").alias("key"), F.col("vec").alias("key_vec"), F.col("r").alias("r_key"))
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("key", kind="stable")
+            y, ids, r_y = unit(np.array(b["key_vec"].tolist(), float)), b["key"].to_numpy(), b["r_key"].to_numpy()
+            x_all, own_all, r_all = unit(np.array(a["vec"].tolist(), float)), a["obs"].to_numpy(), a["r"].to_numpy()
+            for at in range(0, len(a), 512):
+                x, own, r_x = x_all[at : at + 512], own_all[at : at + 512], r_all[at : at + 512]
+                score = 2 * (x @ y.T) - r_x[:, None] - r_y
+                score[own[:, None] == ids] = -np.inf
+                few = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(x)), few.shape[1]), few.ravel()
+                good = np.isfinite(score[i, j])
+                out.append(pd.DataFrame({"obs": own[i[good]], "other": ids[j[good]], "csls": score[i, j][good]}))
+        return pd.concat(out) if out else pd.DataFrame({"obs": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "csls": pd.Series(dtype=float)})
+
+    met = left.groupBy("qb", "kb").cogroup(right.groupBy("q_block", "k_block")).applyInPandas(compare, "obs long, other long, csls double")
     by = Window.partitionBy("obs").orderBy(F.desc(F.round("csls", 12)), "other")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("obs", "rank", "other", "csls")
+    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("obs", "rank", "other", "csls")
 
 
 def connectivity(knn: DataFrame, groups: DataFrame) -> DataFrame:

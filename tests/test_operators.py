@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,21 @@ def test_blocks_give_the_same_neighbours(spark, block):
         near = sorted((round(sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5, 12), j) for j, y in rows if j != i)[:3]
         expected |= {(i, k + 1, j) for k, (_, j) in enumerate(near)}
     assert got == expected
+
+
+def test_csls_ranks_every_point(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(240, 16))
+    x[:80] = x[0] + 0.05 * rng.normal(size=(80, 16))  # a hub of more than 4 * hub_k near copies
+    x[80:100] += 1.5 * x[0]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -np.inf)
+    r = np.sort(cosine, axis=1)[:, -10:].mean(axis=1)
+    expected = np.argsort(-(2 * cosine - r[:, None] - r), axis=1, kind="stable")[:, :5]
+    within = np.argsort(-cosine, axis=1, kind="stable")[:, :40]
+    assert any(set(e) - set(w) for e, w in zip(expected, within))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "obs long, vec array<double>")
+    for block in ((), (64,)):
+        got = {(a.obs, a["rank"]): a.other for a in G.csls_top_k(df, 5, 10, *block).collect()}
+        assert got == {(i, n + 1): int(j) for i, row in enumerate(expected) for n, j in enumerate(row)}
