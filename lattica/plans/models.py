@@ -45,18 +45,19 @@ def _levels(spark, d):
 def decoy_term_test(spark, d):
     sums, level = _levels(spark, d)
     members = T.terms(spark, d).select(F.col("term").alias("set"), "feature").distinct()
-    return M.matched_test(level, members, M.strata(sums), draws=50)
+    return M.matched_test(level, members, M.strata(sums))
 
 
 @query("class_enrichment")
 def class_enrichment(spark, d):
-    """Specificity of each class's features in each group against matched random sets."""
+    """Running-sum score of each class's features, ranked by specificity in each group, against matched random sets."""
     sums = E._sums(spark, d)
     profile = P.weighted_profile(sums)
     share = F.col("mu") / F.sum("mu").over(Window.partitionBy("feature"))
     level = profile.select("grp", "feature", share.alias("x"))
-    members = T.panel(spark, d).select(F.col("class").alias("set"), "feature")
-    return M.matched_test(level, members, M.strata(sums), draws=50)
+    panel = T.panel(spark, d)
+    members = panel.join(P.panel_idf(panel), "feature").select(F.col("class").alias("set"), "feature", F.col("idf").alias("weight"))
+    return M.enrichment_test(level, members, M.strata(sums))
 
 
 @query("susie_calls")
