@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -245,14 +246,29 @@ def balanced_centre(points: DataFrame) -> DataFrame:
     return dims.groupBy("grp", "k").agg(F.avg("x").alias("m")).groupBy("k").agg(F.avg("m").alias("centre"))
 
 
-def within_covariance(points: DataFrame, dims: int) -> DataFrame:
-    """(i, j, cov), i <= j: pooled within-group covariance, divisor n - groups, over the first ``dims`` dimensions."""
-    x = points.select("obs", "grp", F.posexplode(F.slice("vec", 1, dims)).alias("k", "x"))
-    centred = x.withColumn("r", F.col("x") - F.avg("x").over(Window.partitionBy("grp", "k"))).select("obs", "k", "r")
-    a, b = centred.select("obs", F.col("k").alias("i"), F.col("r").alias("ri")), centred.select("obs", F.col("k").alias("j"), F.col("r").alias("rj"))
+def within_covariance(points: DataFrame, dims: int | None = None) -> DataFrame:
+    """(i, j, cov), i <= j: pooled within-group covariance, divisor n - groups, over all dimensions or the first ``dims``.
+
+    Each partition sums the outer products of its residuals; only such sums are shuffled.
+    """
+    x = points.select("obs", "grp", F.slice("vec", 1, dims).alias("vec") if dims else F.col("vec"))
+    mean = x.select("grp", F.posexplode("vec").alias("k", "x")).groupBy("grp", "k").agg(F.avg("x").alias("m"))
+    centre = mean.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("centre"))
+    centred = x.join(centre, "grp").select(F.zip_with("vec", "centre", lambda v, c: v - c).alias("r"))
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                r = np.array(pdf["r"].tolist(), float)
+                total = r.T @ r if total is None else total + r.T @ r
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
+
     freedom = points.agg((F.count(F.lit(1)) - F.countDistinct("grp")).alias("f"))
-    summed = a.join(b, "obs").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("s"))
-    return summed.crossJoin(freedom).select("i", "j", (F.col("s") / F.col("f")).alias("cov"))
+    summed = centred.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    return summed.crossJoin(freedom).select("i", "j", (F.col("s") / F.col("f")).alias("cov"))  # freedom is one row
 
 
 def module_score_embedding(points: DataFrame, centre: DataFrame, directions: DataFrame) -> DataFrame:

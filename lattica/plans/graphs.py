@@ -215,6 +215,12 @@ def within_covariance(spark, d):
     return r6(G.within_covariance(T.vectors(spark, d), 8), "cov")
 
 
+@query("within_covariance_whole")
+def within_covariance_whole(spark, d):
+    """Over all dimensions; the SQL of ``within_covariance`` takes the first eight."""
+    return r6(G.within_covariance(T.vectors(spark, d)), "cov")
+
+
 @query("embedding_module_score", with_inputs(_DIMS + """, c AS (SELECT k, avg(m) AS centre FROM gm GROUP BY 1), u AS (SELECT gm.grp AS class, k, m - centre AS u FROM gm JOIN c USING (k)),
     s AS (SELECT obs, class, sum((x - centre) * u) AS score FROM dims JOIN c USING (k) JOIN u USING (k) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY obs ORDER BY round(score, 9) DESC, class))
     SELECT obs, class, round(score, 6) AS score, round(score - nxt, 6) AS margin FROM r WHERE n = 1""", "vectors"))

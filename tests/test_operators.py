@@ -140,3 +140,17 @@ def test_csls_ranks_every_point(spark):
     for block in ((), (64,)):
         got = {(a.obs, a["rank"]): a.other for a in G.csls_top_k(df, 5, 10, *block).collect()}
         assert got == {(i, n + 1): int(j) for i, row in enumerate(expected) for n, j in enumerate(row)}
+
+
+def test_within_covariance_takes_every_dimension(spark):
+    from lattica.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    x, grp = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    for g in set(grp):
+        x[grp == g] -= x[grp == g].mean(axis=0)
+    expected = x.T @ x / (len(x) - len(set(grp)))
+    got = {(r.i, r.j): r.cov for r in QUERIES["within_covariance_whole"](spark, folder).collect()}
+    assert len(got) == x.shape[1] * (x.shape[1] + 1) // 2
+    assert all(abs(c - expected[i, j]) < 1e-5 for (i, j), c in got.items())
