@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lattica.sources.shared import held
+
 
 @F.pandas_udf(T.DoubleType())
 def normal_upper_tail(z: pd.Series) -> pd.Series:
@@ -325,11 +327,113 @@ def regions(points: DataFrame, rounds: int = 15) -> DataFrame:
 DENSE_NODES = 4_000
 
 
+#: The block iteration: spare vectors, residual wanted of every pair, products before the first check and at most.
+SPARE, RESIDUAL, FIRST_PRODUCTS, MOST_PRODUCTS = 10, 1e-3, 20, 2560
+
+
+def _gram(vectors: DataFrame, width: int) -> np.ndarray:
+    """Inner products of the columns of (i, v): partial sums where the vectors are."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                x = np.array(pdf["v"].tolist(), float)
+                total += x.T @ x
+        yield pd.DataFrame({"at": np.arange(width * width), "x": total.ravel()})
+
+    rows = vectors.select("v").mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(width * width)
+    out[rows["at"].to_numpy()] = rows["x"]
+    return out.reshape(width, width)
+
+
+def _rotated(vectors: DataFrame, by: np.ndarray) -> DataFrame:
+    """(i, v @ by)."""
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"i": pdf["i"], "v": list(np.array(pdf["v"].tolist(), float) @ by)})
+
+    return vectors.mapInPandas(turn, "i long, v array<double>")
+
+
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """What turns columns of this gram matrix orthonormal; directions lost to rounding count as the least."""
+    value, vector = np.linalg.eigh(gram)
+    return vector / np.sqrt(np.maximum(value, value.max() * 1e-14))
+
+
+def leading_pairs(s: DataFrame, count: int) -> tuple[np.ndarray, DataFrame]:
+    """Eigenvalues of largest magnitude of the symmetric (i, j, s), signed and descending, and (i, v) of their vectors.
+
+    Block power iteration: a product is a join and sums over held tables, and only inner
+    products of the block's columns come to the driver.  Products double until every pair's
+    residual passes; it raises where that doesn't come.
+    """
+    s = held(s)
+    nodes = s.select(F.col("i").cast("long").alias("i")).distinct()
+    width = min(count + SPARE, nodes.count())
+    start = F.array(*[F.xxhash64("i", F.lit(c)) / F.lit(2.0**63) for c in range(width)])
+    block = held(nodes.select("i", start.alias("v")))
+
+    def product(v: DataFrame) -> DataFrame:
+        met = s.join(v.select(F.col("i").alias("j"), "v"), "j")
+        summed = met.groupBy(F.col("i").cast("long").alias("i")).agg(*[F.sum(F.col("s") * F.col("v")[c]).alias(f"v{c}") for c in range(width)])
+        return held(summed.select("i", F.array(*[f"v{c}" for c in range(width)]).alias("v")))
+
+    done, wanted = 0, FIRST_PRODUCTS
+    while True:
+        while done < wanted:
+            block = product(_rotated(block, _orthonormal(_gram(block, width))))
+            done += 1
+        for _ in range(2):  # the second turn takes off what rounding left in the first
+            block = held(_rotated(block, _orthonormal(_gram(block, width))))
+        image = product(block)
+        both = held(block.join(image.select("i", F.col("v").alias("w")), "i").select("i", F.concat("v", "w").alias("v")))
+        gram = _gram(both, 2 * width)
+        inner, outer = gram[:width, width:], gram[width:, width:]
+        value, turn = np.linalg.eigh((inner + inner.T) / 2)
+        few = np.argsort(-np.abs(value), kind="stable")[:count]
+        few = few[np.argsort(-value[few], kind="stable")]
+        value, turn = value[few], turn[:, few]
+        residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, outer, turn) - value**2, 0.0))
+        if residual.max() <= RESIDUAL:
+            return value, held(_rotated(block, turn))
+        if not np.isfinite(residual).all() or wanted >= MOST_PRODUCTS:
+            raise ValueError(f"diffusion components didn't converge: residual {residual.max():.2e} after {done} products")
+        wanted, block = wanted * 2, image
+
+
+def _far_pseudotime(s: DataFrame, roots: DataFrame, components: int, used: int) -> DataFrame:
+    """The times of a graph of any size; coordinates stay in tables."""
+    value, vectors = leading_pairs(s, components + 1)
+    scale = np.where(value < 0.9994, value / np.maximum(1 - value, 1e-12), 1.0)[1 : used + 1]
+    turn = np.zeros((len(value), len(scale)))
+    turn[np.arange(1, len(scale) + 1), np.arange(len(scale))] = scale
+    coords = held(_rotated(vectors, turn))
+    start = coords.join(roots.select(F.col("obs").cast("long").alias("i")).distinct(), "i", "left_semi").collect()  # a root for each class
+    at = np.array([r["v"] for r in start], float)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.array(pdf["v"].tolist(), float)
+                yield pd.DataFrame({"obs": pdf["i"], "far": np.min([np.sqrt(((x - a) ** 2).sum(axis=1)) for a in at], axis=0)})
+
+    far = held(coords.mapInPandas(least, "obs long, far double"))
+    n = far.count()
+    place = round((n - 1) * 0.99) / max(n - 1, 1)
+    bounds = far.agg(F.expr(f"percentile(far, {place!r})").alias("at"), F.max("far").alias("most")).first()
+    return far.select("obs", F.least(F.col("far") / F.lit(bounds["at"] or bounds["most"] or 1.0), F.lit(1.0)).alias("t"))
+
+
 def pseudotime(kernel: DataFrame, roots: DataFrame, components: int = 15, used: int = 10) -> DataFrame:
     """(obs, t): diffusion distance to the nearest root, scaled to its 99th percentile.
 
     The graph's kernel is normalised where it lies; the eigenproblem is dense on the driver
-    up to ``DENSE_NODES`` nodes and refused beyond.
+    up to ``DENSE_NODES`` nodes and a block power iteration over tables beyond.
     """
     q = kernel.groupBy("i").agg(F.sum("w").alias("q"))
     qi, qj = q.select("i", F.col("q").alias("qi")), q.select(F.col("i").alias("j"), F.col("q").alias("qj"))
@@ -338,7 +442,7 @@ def pseudotime(kernel: DataFrame, roots: DataFrame, components: int = 15, used:
     zi, zj = z.select("i", F.col("z").alias("zi")), z.select(F.col("i").alias("j"), F.col("z").alias("zj"))
     s = k.join(zi, "i").join(zj, "j").select("i", "j", (F.col("k") / F.sqrt(F.col("zi") * F.col("zj"))).alias("s"))
     if q.count() > DENSE_NODES:
-        raise ValueError(f"more than {DENSE_NODES} nodes: take representatives first")
+        return _far_pseudotime(s, roots, components, used)
     entries = s.toPandas()
     ids = np.unique(entries["i"].to_numpy())
     m = np.zeros((len(ids), len(ids)))

@@ -90,3 +90,15 @@ def test_queries_take_all_draws():
     assert inspect.signature(M.enrichment_test).parameters["draws"].default == 10_000
     assert inspect.signature(M.matched_test).parameters["draws"].default == 200
     assert "draws=" not in inspect.getsource(models)
+
+
+def test_power_iteration_equals_the_dense_times(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    at = rng.random((60, 2)) * [6, 1]
+    w = np.exp(-((at[:, None] - at[None]) ** 2).sum(axis=2) * 2)
+    kernel = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(60) for j in range(60) if i != j and w[i, j] > 0.05], "i long, j long, w double")
+    roots = spark.createDataFrame([(0,), (1,)], "obs long")
+    dense = {r.obs: r.t for r in M.pseudotime(kernel, roots, components=4, used=3).collect()}
+    monkeypatch.setattr(M, "DENSE_NODES", 10)
+    blocks = {r.obs: r.t for r in M.pseudotime(kernel, roots, components=4, used=3).collect()}
+    assert dense.keys() == blocks.keys() and max(abs(dense[i] - blocks[i]) for i in dense) < 0.02
