@@ -278,11 +278,11 @@ def call_order(items: list[tuple[str, float, float]], tie: float = 0.01) -> list
     return out
 
 
-def regions(points: DataFrame, rounds: int = 15) -> DataFrame:
+def regions(points: DataFrame, rounds: int = 100) -> DataFrame:
     """(obs, call, membership): isotropic mixture on the unit sphere with fixed centres, the groups' mean directions.
 
-    Only a few sums for each region come to the driver in a round; memberships are computed
-    where the vectors are.
+    All of ``rounds`` are run.  Only a few sums for each region come to the driver in a round;
+    memberships are computed where the vectors are.
     """
     dims = points.select("grp", F.posexplode("vec").alias("k", "x")).groupBy("grp", "k").agg(F.avg("x").alias("x")).collect()
     names = sorted({r["grp"] for r in dims})

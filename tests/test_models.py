@@ -102,3 +102,26 @@ def test_power_iteration_equals_the_dense_times(spark, monkeypatch):
     monkeypatch.setattr(M, "DENSE_NODES", 10)
     blocks = {r.obs: r.t for r in M.pseudotime(kernel, roots, components=4, used=3).collect()}
     assert dense.keys() == blocks.keys() and max(abs(dense[i] - blocks[i]) for i in dense) < 0.02
+
+
+def test_regions_run_a_hundred_rounds(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(60, 4)) * 0.6 + [1, 0.3, 0, 0], rng.normal(size=(200, 4)) * 0.6 + [1, -0.3, 0, 0]])
+    grp = np.repeat([0, 1], [60, 200])
+    points = spark.createDataFrame([(i, int(g), [float(c) for c in v]) for i, (g, v) in enumerate(zip(grp, x))], "obs long, grp int, vec array<double>").coalesce(1)
+
+    def fitted(rounds):
+        unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        far = 2 - 2 * unit(x) @ unit(np.array([x[grp == g].mean(axis=0) for g in (0, 1)])).T
+        weight, var = np.full(2, 0.5), np.full(2, 1 / 3)
+        for last in range(rounds + 1):
+            log = np.log(weight) - 1.5 * np.log(var) - far / (2 * var)
+            p = np.exp(log - log.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            if last == rounds:
+                return p.max(axis=1)
+            weight, var = p.mean(axis=0), (p * far).sum(axis=0) / (3 * p.sum(axis=0))
+
+    got = {r.obs: r.membership for r in M.regions(points).collect()}
+    got = np.array([got[i] for i in range(len(x))])
+    assert np.abs(got - fitted(100)).max() < 1e-6 < np.abs(got - fitted(15)).max()
