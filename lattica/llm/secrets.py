@@ -2,8 +2,9 @@
 
 A vocabulary learned from ordinary text spells ordinary strings in few tokens.  A long run of
 key-like characters with few characters for each token is random; known digests (hexadecimal
-runs of a digest's length) and identifiers (UUIDs, version-like dotted numbers, plain words
-and numbers) are left out first.
+runs of a digest's length) and identifiers (UUIDs, version-like dotted numbers and plain
+numbers) are left out first; words pass the test by themselves.  A run joined by ``/`` or ``=``
+is tested whole, and where it isn't random each of its long enough parts is.
 
 Spans are ``kind:start:end`` in code points, end exclusive, ordered by start and then by kind
 as listed, joined by commas.  The kinds are assign, access, hex and dense (the method's).
@@ -39,6 +40,7 @@ LEAST_VALUE = 12
 
 #: Runs the efficiency test looks at, and the ratio under which they count as random.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+_-]{20,}")
 LEAST_CHARACTERS_A_TOKEN = 2.0
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -53,14 +55,14 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def is_known(run: str) -> bool:
-    """Digests, identifiers, and runs of one kind of character (or a capitalised word)."""
+    """Digests, identifiers, and runs without letters."""
     if _UUID.match(run) or (len(run) in DIGEST_LENGTHS and _HEXADECIMAL.match(run)):
         return True
-    plain = re.sub(r"[+/_=-]", "", run)
-    lower, upper, digit = (any(map(test, plain)) for test in (str.islower, str.isupper, str.isdigit))
-    if not digit:  # a word, a heading, a name of joined words
-        return not (lower and upper) or plain[:1].isupper() and plain[1:].islower()
-    return not (lower or upper)
+    return not any(map(str.isalpha, run))
+
+
+def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
+    return not is_known(run) and len(run) < ratio * len(enc.encode_ordinary(run))
 
 
 def spans_of(text: str | None, enc: tiktoken.Encoding, ratio: float = LEAST_CHARACTERS_A_TOKEN) -> str:
@@ -72,9 +74,10 @@ def spans_of(text: str | None, enc: tiktoken.Encoding, ratio: float = LEAST_CHAR
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not is_known(run) and len(run) < ratio * len(enc.encode_ordinary(run)):
+        if is_random(m[0], enc, ratio):
             found.append((m.start(), 3, m.end()))
+        else:  # a key may hang on its path or name
+            found += [(m.start() + x.start(), 3, m.start() + x.end()) for x in PART.finditer(m[0]) if x[0] != m[0] and is_random(x[0], enc, ratio)]
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(found))
 
 

@@ -127,6 +127,23 @@ def test_secrets_keep_the_base_and_add_random_strings(spark):
         assert not brute_spans(t)
 
 
+def test_secrets_of_one_case_and_behind_paths():
+    enc = secrets.encoding(secrets.vocabulary(secrets.DEFAULT_VOCABULARY))
+    rng = random.Random(5)
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for letters in (lower, lower.upper()):
+        assert sum(secrets.spans_of(f"x {made(letters, 32)} y", enc) == "dense:2:34" for _ in range(200)) > 180
+    path = "/home/ordinary/documents/letters"
+    found = 0
+    for _ in range(200):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in secrets.spans_of(f"{path}/{made(mixed, 20)}", enc).split(",") if s.startswith("dense")]
+        found += any(start <= 33 and end == 53 for start, end in spans)
+    assert found > 190
+    for word in ("internationalisation-of-ordinary-words", "/usr/share/documents/ordinary/letters", "=" * 40, "0123456789" * 3, "UNCHARACTERISTICALLY"):
+        assert "dense" not in secrets.spans_of(word, enc), word
+
+
 @pytest.mark.parametrize("run", [token_counts.count_report, secrets.with_spans, sentencepiece_codec.round_trip, packing.pack])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
