@@ -9,13 +9,14 @@
    enters the lists of its rarest values only, as many as leave out at most
    ``LEAST_SHARED`` - 1: values that a passage spreads over many documents come last and
    make no lists.  Sets too small for that use the exact bound on set overlap instead.
-3. Lists are joined in steps that leave ever fewer nodes to meet, for nodes of one component
-   needn't: first each list's least node meets those whose longest list it is, through the
-   union-sketch filter and the exact check; then, in each node's longest lists, the nodes
-   outside the commonest component meet all others exactly, in blocks of bounded size that
-   give links alone, never pairs; last, pairs that share some list but were in no such list
-   together are filtered by their union sketch and verified by exact Jaccard similarity.  So
-   no link between different components is missed.
+3. No list emits all its pairs.  Each list's most central node, its hub, meets the others
+   through the union-sketch filter and the exact check, and components form.  Lists whose
+   nodes then have one component are done; of the others those of at most ``PAIRED`` nodes
+   emit their pairs, and longer ones are divided by what sets their nodes apart from the hub
+   (see ``_apart``: two nodes can be linked without both being linked to the hub only if they
+   share a shingle outside the hub, or lack a common one of it).  The parts are lists again,
+   without the hub, until none is left.  So no link between different components is missed,
+   whatever the size of a group.
 4. Components form by hooking to the least neighbour and pointer jumping over tables in the
    shared folder; nothing is gathered on the driver.
 
@@ -45,9 +46,13 @@ from lattica.llm.common import Memo, durable
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 24
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Of its lists a node's longest ones are its homes, where it meets all others exactly, in
-#: blocks of so many nodes.
-HOMES, BLOCK = 6, 1_024
+#: Lists up to this length emit their pairs; longer ones are divided around a hub.
+PAIRED = 12
+#: Up to this level parts of different lists with one hub are joined; beyond, every part is
+#: smaller than the list it comes from, so that division ends.
+JOINED_LEVELS = 3
+#: A hub's set is copied once for so many nodes that meet it.
+SPREAD = 4_096
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -101,48 +106,68 @@ def _digest(text: str | None) -> bytes:
 
 
 @F.pandas_udf(T.BinaryType())
-def _set_id(texts: pd.Series) -> pd.Series:
-    return pd.Series([_digest(t) for t in texts], dtype=object)
+def _full_set(texts: pd.Series) -> pd.Series:
+    """A text's whole shingle set, sorted, as packed 64-bit integers."""
+    return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
 
-@F.pandas_udf(T.BooleanType())
-def _has_set(texts: pd.Series, set_ids: pd.Series) -> pd.Series:
-    """Takes columns of both sides, so it runs after their join and on few texts."""
-    return pd.Series([_digest(t) == bytes(s) for t, s in zip(texts, set_ids)], dtype=bool)
+@F.pandas_udf(T.BinaryType())
+def _set_id(sets: pd.Series) -> pd.Series:
+    return pd.Series([xxhash.xxh3_128_digest(s) for s in sets], dtype=object)
 
 
-def _texts(wanted: DataFrame, base: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes; rows that share an identifier are told apart by their sets."""
-    named = base.join(wanted.where("lead is not null"), "lead").where(_has_set("text", "set_id"))
-    unnamed = base.where("lead is null").select("text", _set_id("text").alias("set_id")).join(wanted.where("lead is null"), "set_id")
-    return named.select("node", "text").unionByName(unnamed.select("node", "text"))
+def _sets(wanted: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes; rows that share an identifier are told apart by their sets."""
+    named = base.join(wanted.where("lead is not null").select("lead").distinct(), "lead").unionByName(base.where("lead is null"))
+    found = durable(named.select("lead", _full_set("text").alias("shingles")).withColumn("set_id", _set_id("shingles")))
+    same = F.col("w.set_id") == F.col("f.set_id")
+    both = found.alias("f").join(wanted.alias("w"), same & F.col("f.lead").eqNullSafe(F.col("w.lead")))
+    return both.select("node", "shingles").dropDuplicates(["node"])
 
 
 @F.pandas_udf(T.BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether the full sets of two texts are similar enough."""
-    out, of = [], Memo(shingles, 100)  # a is mostly one of a few hubs
+    """Whether two full sets are similar enough."""
+    out = []
     for x, y in zip(a, b):
-        left, right = of[x], shingles(y)
-        both = len(np.intersect1d(left, right, assume_unique=True))
+        left, right = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        both = _shared(left, right)
         out.append(100 * both >= PERCENT * (len(left) + len(right) - both))
     return pd.Series(out, dtype=bool)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared(left: np.ndarray, right: np.ndarray) -> int:
+    merged = np.sort(np.concatenate([left, right]), kind="stable")
+    return int(np.count_nonzero(merged[1:] == merged[:-1]))
+
+
+def _with_sides(pairs: DataFrame, sides: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with ``columns`` of both nodes, suffixed _a and _b.
+
+    ``b`` occurs in a bounded number of pairs; ``a`` may be a hub of very many, so its row is
+    copied once for every ``SPREAD`` of them.
+    """
+    b = sides.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    a = sides.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    copies = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {SPREAD}) as int)").alias("copies"))
+    hubs = a.join(copies, "a").withColumn("salt", F.explode(F.expr("sequence(0, copies - 1)"))).drop("copies")
+    salted = pairs.join(copies, "a").withColumn("salt", F.expr("cast(pmod(xxhash64(b), copies) as int)")).drop("copies")
+    return salted.join(b, "b").join(hubs, ["a", "salt"]).drop("salt")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(b, "b").join(a, "a").where(_similar("ta", "tb")).select("a", "b")
+    return _with_sides(pairs, sets, ["shingles"]).where(_similar("shingles_a", "shingles_b")).select("a", "b")
 
 
 def _may_link() -> F.Column:
-    """Union-sketch filter on sketches sa, sb and sizes na, nb."""
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    exact = 100 * F.size(F.array_intersect("sa", "sb")) >= PERCENT * F.size(F.array_union("sa", "sb"))
-    return F.when(F.greatest("na", "nb") <= SKETCH, exact).otherwise(sizes & (shared >= LEAST_SHARED))
+    """Union-sketch filter on the sketches and sizes of a and b."""
+    na, nb, sa, sb = "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b"
+    union = F.slice(F.array_sort(F.array_union(sa, sb)), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(sa, sb), union))
+    sizes = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    exact = 100 * F.size(F.array_intersect(sa, sb)) >= PERCENT * F.size(F.array_union(sa, sb))
+    return F.when(F.greatest(na, nb) <= SKETCH, exact).otherwise(sizes & (shared >= LEAST_SHARED))
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,7 +197,10 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _lists(nodes: DataFrame) -> DataFrame:
-    """(value, node, held): the inverted lists that nodes enter, of ``held`` nodes, two or more."""
+    """(key, node, held, weight): the inverted lists that nodes enter, of ``held`` nodes, two or more.
+
+    ``weight`` is how common a node's retained values are: the higher, the more central.
+    """
     retained = nodes.select("node", "n_shingles", F.size("sketch").alias("retained"), F.explode("sketch").alias("value"))
     counts = retained.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = retained.join(counts, "value")
@@ -183,95 +211,114 @@ def _lists(nodes: DataFrame) -> DataFrame:
         shared.groupBy("node", "n_shingles", "retained")
         .agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("held"))  # at most a sketch
         .withColumn("most", (enters - alone).cast("int"))
+        .withColumn("weight", F.aggregate("held", F.lit(0.0), lambda t, h: t + F.log(h["held"])) / F.col("retained"))
         .where("most > 0")
     )
-    entered = mine.select("node", F.explode(F.slice("held", F.lit(1), F.col("most"))).alias("x")).select("node", "x.value")
-    met = entered.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return entered.join(met, "value")
+    entered = mine.select("node", "weight", F.explode(F.slice("held", F.lit(1), F.col("most"))).alias("x")).select("node", "weight", F.col("x.value").alias("key"))
+    met = entered.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    return entered.join(met, "key")
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes have different labels."""
-    return _over_labels(pairs, labels).where("la != lb").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that pass the union-sketch filter."""
+    return durable(_with_sides(pairs, nodes, ["n_shingles", "sketch"]).where(_may_link()).select("a", "b"))
 
 
-def _first_links(entered: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels after each list's least node has met those whose first home the list is."""
-    hubs = entered.where("home = 1").groupBy("value").agg(F.min("node").alias("a"))
-    pairs = entered.where("home = 1").join(hubs, "value").where("a < node").select("a", F.col("node").alias("b"))
-    linked = durable(_verified(_likely(pairs, nodes), texts))
+def _joined(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after the linked ones of the pairs (a, b) are made equal."""
+    linked = durable(_verified(_likely(durable(pairs.distinct()), nodes), sets))
     return components(_over_labels(linked, labels), labels)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass the union-sketch filter."""
-    sa = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    sb = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    return durable(pairs.join(sb, "b").join(sa, "a").where(_may_link()).select("a", "b"))
+def _hubs(lists: DataFrame) -> DataFrame:
+    """Each list's most central node; ties go to the smaller node."""
+    return lists.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
 
 
-def _links_between(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Exact links between rows of different labels of two blocks, one for each node and label met.
+def _live(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists (key, node, weight, outside) with labels and ``held``: those that may hold a link between labels."""
+    rows = lists.join(labels, "node")
+    state = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("_x"), F.max("label").alias("_y"), F.max("outside").alias("_o"))
+    return rows.join(state.where("_x < _y and _o").select("key", "held"), "key")
 
-    Rows of the commonest label needn't meet each other; every other row meets the whole
-    other block at once, its shingles looked up in one table.
+
+def _apart(hub: np.ndarray, node: np.ndarray, least: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """What sets a node apart from a hub: (not linked, outside shingles, lacking shingles).
+
+    For nodes A, B and the hub P write a, b for the parts of A, B in P; c is PERCENT /
+    (100 + PERCENT), so A and B are linked if they share c (|A| + |B|).  At most min(a, b) of
+    that lies in P, so they share t = c (|A| + |B|) - min(a, b) shingles outside P, or t <= 0.
+    In the latter case, if A isn't linked to P, that is a < c (|A| + |P|), |B| < |P| follows,
+    and A and B lack at least c (|A| + |B|) + |P| - a - b > (1 - c) lack + c outside (those
+    of B) common shingles of P.  Both conditions bound from below how many shingles a linked
+    pair has in common, so the first ones by hash, that many less one left out, are enough
+    (prefix filter).  ``least`` is the size of the smallest set that meets the hub.
     """
-    found: set[tuple[int, int]] = set()
-    if len(left) and len(right):
-        both = pd.concat([left[["label"]], right[["r_label"]].rename(columns={"r_label": "label"})])["label"]
-        common = both.value_counts().sort_index().idxmax()
-        sides = []
-        for df, p in ((left, ""), (right, "r_")):
-            nodes = df[f"{p}node"].to_numpy()
-            same = sides and np.array_equal(nodes, sides[0][0])
-            sets = sides[0][2] if same else [shingles(t) for t in df[f"{p}text"]]
-            earlier = np.array(df[f"{p}earlier"].tolist(), np.int64).reshape(len(df), -1)
-            sides.append((nodes, df[f"{p}label"].to_numpy(), sets, earlier))
-        values = np.unique(np.concatenate([x for side in sides for x in side[2]]))
-        table = np.zeros(len(values) + 1, bool)
-
-        def meet(mine, theirs, only_common: bool) -> None:
-            nodes, labels, sets, homes = theirs
-            at_most = labels == common if only_common else np.ones(len(nodes), bool)
-            places = [np.searchsorted(values, x) for x in sets]
-            rows = np.flatnonzero(mine[1] != common)
-            for earlier in np.unique(mine[3][rows], axis=0):
-                # Nodes that shared an earlier home have met there.
-                use = np.flatnonzero(at_most & ~(homes == earlier).any(axis=1))
-                if not len(use):
-                    continue
-                sizes = np.array([len(sets[i]) for i in use])
-                flat = np.concatenate([places[i] for i in use])
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                for r in rows[(mine[3][rows] == earlier).all(axis=1)]:
-                    own, label, node = mine[2][r], mine[1][r], int(mine[0][r])
-                    at = np.searchsorted(values, own)
-                    table[at] = True
-                    shared = np.add.reduceat(table[flat], starts, dtype=np.int64)
-                    table[at] = False
-                    hit = np.flatnonzero((100 * shared >= PERCENT * (len(own) + sizes - shared)) & (labels[use] != label))
-                    for k in dict(zip(labels[use][hit].tolist(), hit.tolist())).values():
-                        other = int(nodes[use[k]])
-                        found.add((min(node, other), max(node, other)))
-
-        meet(sides[0], sides[1], False)
-        meet(sides[1], sides[0], True)
-    return pd.DataFrame({"a": pd.Series([x for x, _ in found], dtype="int64"), "b": pd.Series([y for _, y in found], dtype="int64")})
-
-
-def _home_links(entered: DataFrame, home: int, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Exact links between different labels within each list that is its nodes' ``home``-th, in blocks."""
-    earlier = F.filter("homes", lambda h: h["home"] < home)
-    homes = entered.where(F.col("home") <= home).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("home", "value"))).alias("homes"))
-    placed = homes.where(F.size("homes") == home).select("node", F.element_at("homes", -1)["value"].alias("value"), F.transform(earlier, lambda h: h["value"]).alias("earlier"))
-    rows = placed.join(labels, "node")
-    state = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.join(state.select("value", blocks.alias("blocks")), "value").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    full = durable(dealt.join(texts, "node").select("value", "blocks", "block", "node", "label", "earlier", "text"))
-    left = full.select("value", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), "node", "label", "earlier", "text")
-    right = full.select(F.col("value").alias("r_value"), F.explode(F.expr("sequence(0, block)")).alias("r_i"), F.col("block").alias("r_j"), F.col("node").alias("r_node"), F.col("label").alias("r_label"), F.col("earlier").alias("r_earlier"), F.col("text").alias("r_text"))
-    return durable(left.groupBy("value", "i", "j").cogroup(right.groupBy("r_value", "r_i", "r_j")).applyInPandas(_links_between, "a long, b long"))
+    c, whole = PERCENT, 100 + PERCENT  # c / whole is the share; all comparisons in integers
+    inside = np.intersect1d(node, hub, assume_unique=True)
+    a, n, p = len(inside), len(node), len(hub)
+    apart = whole * a < c * (n + p)
+    outside = np.setdiff1d(node, inside, assume_unique=True)
+    lacking = np.setdiff1d(hub, inside, assume_unique=True)
+    smallest = max(least, -(-PERCENT * n // 100))
+    shared = max(1, -(-c * (n + smallest) // whole) - a)
+    outside = outside[: max(0, len(outside) - shared + 1)]
+    take = 0
+    if whole * a >= c * (n + least):  # t <= 0 is possible
+        if apart:
+            take = len(lacking)
+        elif n < p:
+            take = len(lacking) - ((whole - c) * len(lacking) + c * (n - a)) // whole
+    return apart, outside, lacking[:take]
+
+
+_APART = T.StructType([T.StructField("outside", T.BooleanType()), T.StructField("extra", T.ArrayType(T.LongType())), T.StructField("lacking", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_APART)
+def _apart_from_hub(hubs: pd.Series, nodes: pd.Series, least: pd.Series) -> pd.DataFrame:
+    rows = [_apart(np.frombuffer(h, np.int64), np.frombuffer(n, np.int64), int(m)) for h, n, m in zip(hubs, nodes, least)]
+    return pd.DataFrame({"outside": [r[0] for r in rows], "extra": [r[1] for r in rows], "lacking": [r[2] for r in rows]}, index=hubs.index)
+
+
+def _divided(lists: DataFrame, nodes: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Long lists divided by what sets their nodes apart from the hub, as lists of the next level."""
+    hub = lists.join(_hubs(lists), "key").where("node != hub")
+    origin = F.lit(0).cast("long") if level <= JOINED_LEVELS else F.col("key")
+    met = hub.select(F.col("hub").alias("a"), F.col("node").alias("b"), "weight", origin.alias("origin")).distinct()
+    sized = durable(met.join(nodes.select(F.col("node").alias("b"), "n_shingles"), "b"))
+    least = sized.groupBy("a", "origin").agg(F.min("n_shingles").alias("least"))
+    rows = _with_sides(sized.join(least, ["a", "origin"]), sets, ["shingles"])
+    told = rows.select("a", "origin", F.col("b").alias("node"), "weight", _apart_from_hub("shingles_a", "shingles_b", "least").alias("x"))
+    either = F.concat(*[F.transform(f"x.{c}", lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in enumerate(("extra", "lacking"))])
+    shared = told.select("a", "origin", "node", "weight", F.col("x.outside").alias("outside"), F.explode(either).alias("y"))
+    keyed = durable(shared.select(F.xxhash64("a", "origin", "y.kind", "y.value").alias("key"), "node", "weight", "outside"))
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max("outside").alias("_o")).where("held > 1 and _o")
+    return keyed.join(often.select("key"), "key").distinct()
+
+
+def _met(lists: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after all links between nodes of a common list are joined."""
+    first = lists.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("held"), "key"))).where("_n = 1")
+    pairs = first.join(_hubs(first), "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = _joined(pairs, nodes, sets, labels)
+    lists = lists.select("key", "node", "weight", F.lit(True).alias("outside"))
+    level = 1
+    while True:
+        live = durable(_live(lists, labels))
+        if live.isEmpty():
+            return labels
+        hubs = _hubs(live).join(labels.select(F.col("node").alias("hub"), F.col("label").alias("of_hub")), "hub")
+        to_hub = live.join(hubs, "key").where("label != of_hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        labels = _joined(to_hub, nodes, sets, labels)
+        live = durable(_live(lists.join(live.select("key").distinct(), "key"), labels))
+        short = live.where(F.col("held") <= PAIRED)
+        other = short.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("outside").alias("ob"))
+        pairs = short.join(other, "key").where("node < b and label != lb and (outside or ob)").select(F.col("node").alias("a"), "b")
+        labels = _joined(pairs, nodes, sets, labels)
+        long = _live(live.where(F.col("held") > PAIRED).select("key", "node", "weight", "outside"), labels)
+        lists = durable(_divided(durable(long), nodes, sets, level))
+        level += 1
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -282,18 +329,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     lists = durable(_lists(nodes))
     members = durable(lists.select("node").distinct())
     labels = members.select("node", F.col("node").alias("label"))
-    # Texts of nodes in lists: the only ones whose full sets are ever needed.
+    # Nodes in lists are the only ones whose full sets are ever needed.
     wanted = members.join(nodes.select("node", "set_id", "lead"), "node")
     base = documents.select(F.col("doc_id").alias("lead"), F.col("text").cast("string").alias("text"))
-    texts = durable(_texts(wanted, base))
-    by = Window.partitionBy("node").orderBy(F.desc("held"), "value")
-    entered = durable(lists.withColumn("home", F.row_number().over(by)))
     if not members.isEmpty():
-        labels = _first_links(entered, nodes, texts, labels)
-        for home in range(1, HOMES + 1):
-            labels = components(_over_labels(_home_links(entered, home, texts, labels), labels), labels)
-        rest = durable(_likely(_rest(entered, labels), nodes))
-        labels = components(_over_labels(durable(_verified(rest, texts)), labels), labels)
+        labels = _met(lists, nodes, durable(_sets(wanted, base)), labels)
     leaders = nodes.select("node", "set_id", "lead").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = leaders.groupBy("label").agg(F.min("lead").alias("component_id"))
     of_set = leaders.join(least, "label").select("set_id", "component_id")
@@ -302,20 +342,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _rest(entered: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different labels in a common list that have shared no home."""
-    homes = [F.max(F.when(F.col("home") == h, F.col("value"))).alias(f"h{h}") for h in range(1, HOMES + 1)]
-    marked = entered.join(labels, "node").join(entered.groupBy("node").agg(*homes), "node")
-    state = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
-    live = durable(marked.join(state, "value").select("value", "node", "label", *[f"h{h}" for h in range(1, HOMES + 1)]))
-    other = live.select("value", *[F.col(c).alias(f"r_{c}") for c in live.columns[1:]])
-    met = F.lit(False)
-    for h in range(1, HOMES + 1):
-        met = met | F.coalesce(F.col(f"h{h}") == F.col(f"r_h{h}"), F.lit(False))
-    pairs = live.join(other, "value").where((F.col("node") < F.col("r_node")) & (F.col("label") != F.col("r_label")) & ~met)
-    return pairs.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
-
-
 def _over_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes with their labels: na, nb (nodes), la, lb; a and b are the labels."""
     la = labels.select(F.col("node").alias("na"), F.col("label").alias("la"))

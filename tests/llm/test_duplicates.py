@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -34,8 +35,16 @@ def corpus(seed=1):
     return texts
 
 
+def word_sequences(text):
+    """Five-word shingles by the contract's own pattern, without the operator's code."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if len(found) < 5:
+        return frozenset([tuple(found)] if found else [])
+    return frozenset(zip(*(found[k:] for k in range(5))))
+
+
 def brute_components(rows):
-    sets = [frozenset(minhash.shingles(t).tolist()) for _, t in rows]
+    sets = [word_sequences(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -61,20 +70,53 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == sorted(brute_components(rows))
 
 
-def test_near_duplicates_meet_in_rounds(spark, monkeypatch):
-    """Long lists whose hubs are unlike many of their members still lose no link, in several blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 7)
-    rng = random.Random(4)
+def chain(rng):
+    """Copies of copies: neighbours are linked, the ends have little in common."""
     base = words(rng, 120)
-    texts = []
     for _ in range(40):
         base = edited(rng, base, 0.01)
-        texts.append(" ".join(base))
-    rows = list(enumerate(texts))
+        yield base
+
+
+def cloud(rng):
+    """Copies of one text around the similarity, of several lengths, some of which share edits."""
+    base = words(rng, 100)
+    shared = edited(rng, base, 0.03)
+    for k in range(90):
+        copy = edited(rng, shared if k % 3 else base, 0.02 + 0.02 * (k % 2))
+        yield copy[k % 7 :] if k % 5 else copy + words(rng, k % 4)
+
+
+@pytest.mark.parametrize("make, paired", [(chain, 12), (cloud, 2)])
+def test_long_lists_are_divided_and_lose_no_link(spark, monkeypatch, make, paired):
+    """Groups whose hubs are unlike many of their members."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "JOINED_LEVELS", 1)
+    monkeypatch.setattr(minhash, "SPREAD", 7)
+    rows = list(enumerate(" ".join(t) for t in make(random.Random(4))))
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted(brute_components(rows))
 
 
+def test_parts_of_a_list_keep_every_link():
+    """Any two linked sets, one of which isn't linked to the hub, get a common part."""
+    rng = random.Random(7)
+    several = 0
+    for _ in range(400):
+        hub = set(rng.sample(range(2_000), rng.randint(8, 60)))
+        near = [(hub - set(rng.sample(sorted(hub), rng.randint(0, len(hub) // 3)))) | set(rng.sample(range(2_000, 2_012), rng.randint(0, 10))) for _ in range(12)]
+        least = min(map(len, near))
+        asset = lambda x: np.array(sorted(x), np.int64)
+        told = [minhash._apart(asset(hub), asset(x), least) for x in near]
+        for i, a in enumerate(near):
+            for j in range(i):
+                b, both = near[j], len(a & near[j])
+                if 100 * both >= 75 * (len(a) + len(b) - both) and (told[i][0] or told[j][0]):
+                    several += 1
+                    assert set(told[i][1]) & set(told[j][1]) or set(told[i][2]) & set(told[j][2])
+    assert several > 50
+
+
 def test_near_duplicates_without_ids_and_with_repeated_ones(spark):
     text = " ".join(words(random.Random(2), 30))
     other = " ".join(words(random.Random(3), 30))
