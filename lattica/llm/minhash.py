@@ -11,8 +11,9 @@
    make no lists.  Sets too small for that use the exact bound on set overlap instead.
 3. No list emits all its pairs.  Each list's most central node, its hub, meets the others
    through the union-sketch filter and the exact check, and components form.  Lists whose
-   nodes then have one component are done; of the others those of at most ``PAIRED`` nodes
-   emit their pairs, and longer ones are divided by what sets their nodes apart from the hub
+   nodes then have one component are done; of the others the shortest emit their pairs (up to
+   ``PAIRED`` nodes, or as long as all of these together hold no more pairs than ``PAIRED``
+   for every node), and longer ones are divided by what sets their nodes apart from the hub
    (see ``_apart``: two nodes can be linked without both being linked to the hub only if they
    share a shingle outside the hub, or lack a common one of it).  The parts are lists again,
    without the hub, until none is left.  So no link between different components is missed,
@@ -226,8 +227,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _joined(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels after the linked ones of the pairs (a, b) are made equal."""
-    linked = durable(_verified(_likely(durable(pairs.distinct()), nodes), sets))
-    return components(_over_labels(linked, labels), labels)
+    pairs = durable(pairs.distinct())
+    if pairs.isEmpty():
+        return labels
+    linked = durable(_verified(_likely(pairs, nodes), sets))
+    return labels if linked.isEmpty() else components(_over_labels(linked, labels), labels)
 
 
 def _hubs(lists: DataFrame) -> DataFrame:
@@ -242,6 +246,13 @@ def _live(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(state.where("_x < _y and _o").select("key", "held"), "key")
 
 
+def _pairable(live: DataFrame, most: int) -> int:
+    """The greatest length of lists that, with all shorter ones, hold ``most`` pairs at most; PAIRED at least."""
+    by_length = live.groupBy("held").agg((F.count(F.lit(1)) * (F.col("held") - 1) / 2).alias("pairs"))
+    running = by_length.select("held", F.sum("pairs").over(Window.orderBy("held")).alias("pairs"))  # a row a length
+    return max(PAIRED, running.where(F.col("pairs") <= most).agg(F.max("held")).first()[0] or 0)
+
+
 def _apart(hub: np.ndarray, node: np.ndarray, least: int) -> tuple[bool, np.ndarray, np.ndarray]:
     """What sets a node apart from a hub: (not linked, outside shingles, lacking shingles).
 
@@ -303,7 +314,7 @@ def _met(lists: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame)
     pairs = first.join(_hubs(first), "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     labels = _joined(pairs, nodes, sets, labels)
     lists = lists.select("key", "node", "weight", F.lit(True).alias("outside"))
-    level = 1
+    level, most = 1, PAIRED * labels.count()
     while True:
         live = durable(_live(lists, labels))
         if live.isEmpty():
@@ -312,12 +323,15 @@ def _met(lists: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame)
         to_hub = live.join(hubs, "key").where("label != of_hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         labels = _joined(to_hub, nodes, sets, labels)
         live = durable(_live(lists.join(live.select("key").distinct(), "key"), labels))
-        short = live.where(F.col("held") <= PAIRED)
+        pairable = _pairable(live, most)
+        short = live.where(F.col("held") <= pairable)
         other = short.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("outside").alias("ob"))
         pairs = short.join(other, "key").where("node < b and label != lb and (outside or ob)").select(F.col("node").alias("a"), "b")
         labels = _joined(pairs, nodes, sets, labels)
-        long = _live(live.where(F.col("held") > PAIRED).select("key", "node", "weight", "outside"), labels)
-        lists = durable(_divided(durable(long), nodes, sets, level))
+        long = durable(_live(live.where(F.col("held") > pairable).select("key", "node", "weight", "outside"), labels))
+        if long.isEmpty():
+            return labels
+        lists = durable(_divided(long, nodes, sets, level))
         level += 1
 
 
