@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lattica.llm.common import Memo, durable
 
@@ -276,21 +276,7 @@ def with_next_text(documents: DataFrame, out_col: str = "next_text", carried: st
     back = F.when(F.col("doc_id").isNull(), F.lit(before.get(None))).otherwise(F.element_at(extra, F.col("doc_id")))
     places = F.array_compact(F.array(F.struct(F.col("span").alias("span"), F.lit(False).alias("tail")), F.when(back.isNotNull(), F.struct(back.cast("int").alias("span"), F.lit(True).alias("tail")))))
     sent = ranged.select("doc_id", "text", *more, F.explode(places).alias("p")).select("p.span", "p.tail", "doc_id", "text", *more)
-    placed = sent.repartition(ranges, "span").sortWithinPartitions("span", "tail", F.col("doc_id").asc_nulls_last(), "text")
-
-    names = ["doc_id", "text", out_col, *(x for c in more for x in (c, f"next_{c}"))]
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row waits for the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            held = pa.RecordBatch.from_pydict({c: batch.column(c)[batch.num_rows - 1 :] for c in batch.schema.names}, schema=batch.schema)
-            now, after = rows.slice(0, rows.num_rows - 1), rows.slice(1)
-            joined = pc.and_(pc.invert(now.column("tail")), pc.equal(now.column("span"), after.column("span")))
-            columns = [now.column("doc_id"), now.column("text"), after.column("text"), *(x for c in more for x in (now.column(c), after.column(c)))]
-            yield from pa.table(columns, names=names).filter(joined).combine_chunks().to_batches(max_chunksize=2_000)
-
-    fields = [f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names]
-    return placed.mapInArrow(pair, ", ".join(fields))
+    by = Window.partitionBy("span").orderBy("tail", F.col("doc_id").asc_nulls_last(), "text")
+    follows = {out_col: F.lead("text").over(by)} | {f"next_{c}": F.lead(c).over(by) for c in more}
+    paired = sent.repartition(ranges, "span").withColumns(follows).where(~F.col("tail") & F.col(out_col).isNotNull())
+    return paired.select("doc_id", "text", out_col, *(x for c in more for x in (c, f"next_{c}")))
