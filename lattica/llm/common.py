@@ -66,6 +66,21 @@ class Memo(dict):
         return value
 
 
+_kept: dict = {}
+
+
+def worker_kept(make: Callable, *args):
+    """What an operator keeps in its worker from task to task, made by ``make(*args)``.
+
+    Workers serve the stages of a job one after the other: what another operator kept goes first,
+    so that a worker holds one operator's caches only.
+    """
+    if (make, args) not in _kept:
+        _kept.clear()
+        _kept[make, args] = make(*args)
+    return _kept[make, args]
+
+
 def in_portions(texts: Iterable[str], most: int = 2_000_000) -> Iterator[list[str]]:
     """Consecutive lists of texts of about ``most`` characters (a longer text makes a list alone)."""
     portion: list[str] = []

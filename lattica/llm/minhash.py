@@ -30,7 +30,6 @@ smallest identifier reachable, or null) and are kept if they reach none.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lattica.llm.common import Memo, durable
+from lattica.llm.common import Memo, durable, worker_kept
 
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 24
 #: Linked: 100 * intersection >= PERCENT * union.
@@ -58,7 +57,6 @@ SPREAD = 4_096
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-@functools.lru_cache(maxsize=1)
 def _word_hashes() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest, 300_000)
 
@@ -69,7 +67,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
-    own = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, n)
+    own = np.fromiter(map(worker_kept(_word_hashes).__getitem__, words), np.uint64, n)
     width = min(WORDS, n)
     mixed = np.full(n - width + 1, width, np.uint64)
     for k in range(width):

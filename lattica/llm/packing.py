@@ -12,7 +12,6 @@ they follow the input's partitions and order, so a recomputed task gives the sam
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterable, Iterator
 
@@ -21,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import in_portions, vocabulary
+from lattica.llm.common import in_portions, vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose identifiers a worker keeps; about 250 MB.
-CACHED_WORDS = 1_000_000
+#: Distinct words whose identifiers a worker keeps (about 100 MB) and those that the library
+#: encodes at once.
+CACHED_WORDS, ENCODED_AT_ONCE = 400_000, 20_000
 
 
 class WordEncoder:
@@ -51,24 +51,25 @@ class WordEncoder:
     def encode_packed(self, texts: Iterable[str | None], end_id: int) -> Iterator[bytes]:
         """Identifiers of each text and the end identifier, as little-endian unsigned 32-bit integers."""
         tail = np.array([end_id], "<u4").tobytes()
-        for portion in in_portions(t or "" for t in texts):
+        for portion in in_portions((t or "" for t in texts), 500_000):
             cut = [t.encode().split() for t in portion]  # bytes split at ASCII white space only
             distinct = set().union(*cut)
             missing = [w for w in distinct if w not in self.known]
             if len(self.known) + len(missing) > CACHED_WORDS:
                 self.known, missing = {}, list(distinct)
-            if missing:
-                ids = self._encode([w.decode() for w in missing])
+            for at in range(0, len(missing), ENCODED_AT_ONCE):
+                some = missing[at : at + ENCODED_AT_ONCE]
+                ids = self._encode([w.decode() for w in some])
                 packed = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
                 ends = (4 * np.cumsum([len(x) for x in ids])).tolist()
-                self.known.update(zip(missing, (packed[a:b] for a, b in zip([0, *ends], ends))))
+                self.known.update(zip(some, (packed[a:b] for a, b in zip([0, *ends], ends))))
             for words in cut:
                 yield b"".join(map(self.known.__getitem__, words)) + tail
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """The worker's encoder of a vocabulary."""
+    return worker_kept(WordEncoder, path)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCABULARY, end_id: int = 1, most: int = 2048) -> DataFrame:

@@ -17,7 +17,6 @@ outputs replace columns of the same name.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import vocabulary
+from lattica.llm.common import vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "dense")
@@ -47,8 +46,12 @@ _HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 
 
-@functools.lru_cache(maxsize=4)
 def encoding(path: str) -> tiktoken.Encoding:
+    """The worker's encoding of a vocabulary."""
+    return worker_kept(_read_encoding, path)
+
+
+def _read_encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -19,7 +19,6 @@ kept and outputs replace columns of the same name.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import in_portions, vocabulary
+from lattica.llm.common import in_portions, vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # stands for a space
@@ -226,9 +225,8 @@ class PieceCodec:
             return written.decode("utf-8", "surrogateescape").translate({0xDC00 + b: "�" for b in range(128, 256)})
 
 
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return worker_kept(PieceCodec, path)
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = DEFAULT_VOCABULARY, begin: bool = True, end: bool = True) -> DataFrame:

@@ -14,7 +14,6 @@ is replaced.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Memo, vocabulary
+from lattica.llm.common import Memo, vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
@@ -131,10 +130,9 @@ class TokenCounter:
         return self._count_plain(text)
 
 
-@functools.lru_cache(maxsize=4)
 def counter(path: str) -> TokenCounter:
     """One counter for each worker process and vocabulary; its caches serve all later tasks."""
-    return TokenCounter(path)
+    return worker_kept(TokenCounter, path)
 
 
 def with_token_counts(df: DataFrame, text_col: str = "text", out_col: str = "n_tokens", vocab: str = DEFAULT_VOCABULARY) -> DataFrame:
