@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again: lineage ends there.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; a local folder only on one machine, an error on a cluster that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/lattica-checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-    A local folder serves only where the session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lattica-checkpoints"
-    path = f"{folder.rstrip('/')}/held-{uuid.uuid4().hex}"
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there."""
+    path = scratch(df.sparkSession, "held")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
