@@ -14,14 +14,22 @@ from pyspark.sql.window import Window
 from lattica.sources.shared import held
 
 
-def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(id, anc, depth): every term with its ancestors and itself, at the least depth; edges are an acyclic (child, parent)."""
-    sql = """
-        WITH RECURSIVE up(id, anc, depth) MAX RECURSION LEVEL {levels} AS (
-            SELECT DISTINCT id, id, 0 FROM (SELECT child AS id FROM {edges} UNION ALL SELECT parent FROM {edges})
-            UNION ALL SELECT up.id, e.parent, up.depth + 1 FROM up JOIN {edges} e ON e.child = up.anc
-        ) SELECT id, anc, min(depth) AS depth FROM up GROUP BY id, anc"""
-    return edges.sparkSession.sql(sql.replace("{levels}", str(most_depth)), edges=edges)
+def closure(edges: DataFrame) -> DataFrame:
+    """(id, anc, depth): every term with its ancestors and itself, at the least depth; edges are (child, parent).
+
+    Ways double in length until nothing changes, so the depth has no bound.
+    """
+    ids = edges.select(F.col("child").alias("id")).unionByName(edges.select(F.col("parent").alias("id"))).distinct()
+    one = edges.select(F.col("child").alias("id"), F.col("parent").alias("anc"), F.lit(1).alias("depth")).distinct()
+    up = held(ids.select("id", F.col("id").alias("anc"), F.lit(0).alias("depth")).unionByName(one))
+    state = (0, 0)
+    while True:
+        size = up.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if tuple(size) == state:
+            return up
+        state = tuple(size)
+        above = up.select(F.col("id").alias("anc"), F.col("anc").alias("_top"), F.col("depth").alias("_more"))
+        up = held(up.join(above, "anc").groupBy("id", F.col("_top").alias("anc")).agg(F.min(F.col("depth") + F.col("_more")).alias("depth")))
 
 
 def reachability(edges: DataFrame) -> DataFrame:
@@ -88,14 +96,21 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def lineages(edges: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(path): every way from a root to a leaf of an acyclic (a, b) graph, steps in order."""
-    sql = """
-        WITH RECURSIVE walk(node, path) MAX RECURSION LEVEL {levels} AS (
-            SELECT DISTINCT a, array(a) FROM {edges} WHERE a NOT IN (SELECT b FROM {edges})
-            UNION ALL SELECT e.b, array_append(walk.path, e.b) FROM walk JOIN {edges} e ON e.a = walk.node
-        ) SELECT path FROM walk WHERE node NOT IN (SELECT a FROM {edges})"""
-    return edges.sparkSession.sql(sql.replace("{levels}", str(most_depth)), edges=edges)
+def lineages(edges: DataFrame) -> DataFrame:
+    """(path): every way from a root to a leaf of an acyclic (a, b) graph, steps in order; a cycle below a root is an error."""
+    edges = held(edges.select("a", "b").distinct())
+    roots = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
+    walk = held(roots.select("node", F.array("node").alias("path")))
+    inner = edges.select(F.col("a").alias("node")).distinct()
+    out = None
+    while not walk.isEmpty():
+        ended = walk.join(inner, "node", "left_anti").select("path")
+        out = held(ended if out is None else out.unionByName(ended))
+        further = walk.join(edges, walk["node"] == edges["a"])
+        if not further.where(F.array_contains("path", F.col("b"))).isEmpty():
+            raise ValueError("the graph has a cycle")
+        walk = held(further.select(F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path")))
+    return walk.select("path") if out is None else out
 
 
 def lineage_weights(paths: DataFrame) -> DataFrame:
@@ -230,7 +245,7 @@ def gauss_kernel(knn: DataFrame) -> DataFrame:
 
 
 def medoids(points: DataFrame) -> DataFrame:
-    """The point of each group with the least summed distance to the others: sums of squares decide."""
+    """The point of each group with the least summed squared distance to the others (that is, the nearest to their mean)."""
     dims = points.select("grp", F.posexplode("vec").alias("k", "x"))
     mean = dims.groupBy("grp", "k").agg(F.avg("x").alias("m"))
     centre = mean.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("centre"))

@@ -44,13 +44,22 @@ def coarse_call(shares: DataFrame, members: DataFrame) -> DataFrame:
     return summed.withColumn("r", F.row_number().over(by)).where("r = 1").select("grp", "coarse", "share")
 
 
-def left_labels(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Observations with their label or 'unassigned'; no overlap at all is the caller's error to raise."""
-    return cells.select("obs").join(labels, "obs", "left").select("obs", F.coalesce("label", F.lit("unassigned")).alias("label"))
+def first_hits(labels: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One label for each key: the first in ``order``, else the smallest; null labels take no part."""
+    return labels.where("label is not null").groupBy(key).agg(F.min_by("label", F.struct(*([order] if order else []), "label")).alias("label"))
 
 
-def fallback_labels(names: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels by barcode@sample, else by the bare barcode."""
+def left_labels(cells: DataFrame, labels: DataFrame, order: str | None = None) -> DataFrame:
+    """Observations with their label (the first hit) or 'unassigned'; if no observation has a label at all, an error."""
+    one = first_hits(labels, "obs", order)
+    if cells.select("obs").join(one, "obs", "left_semi").isEmpty() and not cells.isEmpty():
+        raise ValueError("no observation has a label")
+    return cells.select("obs").join(one, "obs", "left").select("obs", F.coalesce("label", F.lit("unassigned")).alias("label"))
+
+
+def fallback_labels(names: DataFrame, labels: DataFrame, order: str | None = None) -> DataFrame:
+    """Labels by barcode@sample, else by the bare barcode; of several labels of a key the first hit counts."""
+    labels = first_hits(labels, "key", order)
     full = labels.select(F.col("key").alias("name"), F.col("label").alias("_full"))
     bare = labels.select(F.col("key").alias("_bare"), F.col("label").alias("_label"))
     joined = names.join(full, "name", "left").withColumn("_bare", F.split_part("name", F.lit("@"), F.lit(1))).join(bare, "_bare", "left")

@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 
 def feature_sums(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Sums over two groupings in one sweep: (kind, key, feature, value), kind is group or batch."""
+    """Sums over two groupings in one sweep: (kind, key, feature, value), kind is group or batch; observations without one take no part in its sums."""
     joined = counts.join(cells, "obs")
     sets = joined.groupingSets([["grp", "feature"], ["batch", "feature"]], "grp", "batch", "feature")
     summed = sets.agg(F.sum("value").alias("value"), F.grouping_id().alias("_g"))
-    by_group = F.col("grp").isNotNull()
-    return summed.select(
+    by_group = F.expr("_g & 4") == 0  # the bit of grp in the grouping id
+    present = F.when(by_group, F.col("grp").isNotNull()).otherwise(F.col("batch").isNotNull())
+    return summed.where(present).select(
         F.when(by_group, "group").otherwise("batch").alias("kind"), F.coalesce(F.col("grp").cast("string"), F.col("batch")).alias("key"), "feature", "value"
     )
 

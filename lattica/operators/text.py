@@ -70,9 +70,13 @@ def overlaps(spans: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return spans.join(o, key).where((F.col("end") > F.col("o_start")) & (F.col("start") < F.col("o_end")))
 
 
-def strip_braces(text: str | Column, depth: int = 4) -> Column:
-    """Braced remarks taken out, inner ones first, and white space collapsed."""
+def strip_braces(text: str | Column) -> Column:
+    """Braced remarks taken out, nested to any depth, and white space collapsed; a brace without its partner stays."""
     c = F.col(text) if isinstance(text, str) else text
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"\{[^{}]*\}", "")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    pieces = F.regexp_extract_all(c, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+    # Open remarks are a stack of what was read in them; a closing brace drops the top one.
+    below = lambda s: F.slice(s, F.lit(1), F.size(s) - 1)
+    add = lambda s, x: F.array_append(below(s), F.concat(F.element_at(s, -1), x))
+    step = lambda s, x: F.when(x == "{", F.array_append(s, F.lit(""))).when((x == "}") & (F.size(s) > 1), below(s)).otherwise(add(s, x))
+    kept = F.array_join(F.aggregate(pieces, F.array(F.lit("")), step), "{")
+    return F.trim(F.regexp_replace(kept, r"\s+", " "))

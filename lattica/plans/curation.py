@@ -240,9 +240,27 @@ def decisions_apply(spark, d):
     return R.apply_decisions(_decisions(spark, d), _labelled(spark, d), _history(spark))
 
 
-@query("decision_refusals", "SELECT 1::INTEGER AS line, '' AS reason WHERE false")
+#: Decisions that break a rule each, beside those of the round (which break none): line, action, groups, label, rationale, features, reason.
+_BREAKING = [
+    (101, "label", [2, 3], "x", "why", None, "a label takes one group and a label"),
+    (102, "keep", [1000], None, "why", None, None),
+    (103, "keep", [4], None, " ", None, "no rationale"),
+    (104, "merge", [6], "y", "why", None, "a merge takes two groups"),
+    (105, "explode", [7], None, "why", None, "no such action"),
+    (106, "markers_add", [8], "z", "why", ["f"], "a marker edit names no groups"),
+    (107, "markers_drop", [], "z", "why", [], "a marker edit needs a label and features"),
+    (108, "keep", [0], None, "why", None, "group decided twice"),
+]
+_REASONS = ", ".join(f"({line}, '{reason}')" for line, *_, reason in _BREAKING if reason)
+_NAMED = ", ".join(f"({line}, {g})" for line, _, groups, *_ in _BREAKING for g in groups)
+
+
+@query("decision_refusals", f"""WITH {_DECISIONS}, named(line, grp) AS (SELECT line, unnest(groups) FROM dec UNION ALL VALUES {_NAMED})
+    SELECT line::INTEGER AS line, reason FROM (VALUES {_REASONS}) v(line, reason) UNION SELECT line, 'no such group' FROM named WHERE grp NOT IN (SELECT c_nationkey FROM customer)""")
 def decision_refusals(spark, d):
-    return R.refusals(_decisions(spark, d), T.cells(spark, d).select("grp").distinct())
+    schema = "line int, action string, groups array<int>, label string, rationale string, features array<string>, reason string"
+    broken = spark.createDataFrame(_BREAKING, schema).drop("reason")
+    return R.refusals(_decisions(spark, d).unionByName(broken), T.cells(spark, d).select("grp").distinct())
 
 
 @query("history_merge", f"""WITH {_DECISIONS}, {_INTO}

@@ -152,7 +152,7 @@ def topk_cosine(spark, d):
     return r6(G.blocked_top_k(v, v, 5, "cosine"), "score")
 
 
-@query("csls_topk", with_inputs(_COS + """, n AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY round(score, 12) DESC, other) AS i FROM c QUALIFY i <= 40),
+@query("csls_topk", with_inputs(_COS + """, n AS (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY round(score, 12) DESC, other) AS i FROM c),
     r AS (SELECT obs, avg(score) AS r FROM n WHERE i <= 10 GROUP BY 1), s AS (SELECT n.obs, n.other, 2 * score - a.r - b.r AS csls FROM n JOIN r a ON a.obs = n.obs JOIN r b ON b.obs = n.other)
     SELECT obs, row_number() OVER (PARTITION BY obs ORDER BY round(csls, 12) DESC, other) AS rank, other, round(csls, 6) AS csls FROM s QUALIFY rank <= 5""", "vectors"))
 def csls_topk(spark, d):
@@ -209,15 +209,9 @@ def balanced_centre(spark, d):
     return r6(G.balanced_centre(T.vectors(spark, d)), "centre")
 
 
-@query("within_covariance", with_inputs(_DIMS + """, r AS (SELECT obs, k, x - m AS r FROM dims JOIN gm USING (grp, k) WHERE k < 8)
+@query("within_covariance", with_inputs(_DIMS + """, r AS (SELECT obs, k, x - m AS r FROM dims JOIN gm USING (grp, k))
     SELECT a.k AS i, b.k AS j, round(sum(a.r * b.r) / (SELECT count(*) - count(DISTINCT grp) FROM vectors), 6) AS cov FROM r a JOIN r b USING (obs) WHERE a.k <= b.k GROUP BY 1, 2""", "vectors"))
 def within_covariance(spark, d):
-    return r6(G.within_covariance(T.vectors(spark, d), 8), "cov")
-
-
-@query("within_covariance_whole")
-def within_covariance_whole(spark, d):
-    """Over all dimensions; the SQL of ``within_covariance`` takes the first eight."""
     return r6(G.within_covariance(T.vectors(spark, d)), "cov")
 
 

@@ -43,9 +43,10 @@ def document_frequency(spark, d):
     return _df(spark, d)
 
 
-@query("vocab_cuts", f"""WITH {_DF}, o AS (SELECT *, row_number() OVER (ORDER BY df, word) - 1 AS i, count(*) OVER () AS v FROM freq),
-    c AS (SELECT max(df) FILTER (i = least(floor(0.05 * v), v - 1)) AS low, max(df) FILTER (i = least(floor(0.995 * v), v - 1)) AS high FROM o)
-    SELECT word, df, CASE WHEN df <= low OR df < 2 THEN 'rare' WHEN df >= high OR df > 0.5 * (SELECT count(*) FROM documents) THEN 'common' ELSE 'kept' END AS verdict FROM freq, c""")
+@query("vocab_cuts", f"""WITH {_DF.replace("tok AS (", "tok AS MATERIALIZED (").replace("freq AS (", "freq AS MATERIALIZED (")},
+    h AS (SELECT df, count(*) AS n FROM freq GROUP BY 1), o AS (SELECT df, sum(n) OVER (ORDER BY df) AS upto, sum(n) OVER () AS v FROM h),
+    c AS (SELECT min(df) FILTER (upto > least(floor(0.05 * v), v - 1)) AS low, min(df) FILTER (upto > least(floor(0.995 * v), v - 1)) AS high, (SELECT count(*) FROM documents) AS docs FROM o)
+    SELECT word, df, CASE WHEN df <= low OR df < 2 THEN 'rare' WHEN df >= high OR df > 0.5 * docs THEN 'common' ELSE 'kept' END AS verdict FROM freq CROSS JOIN c""")
 def vocab_cuts(spark, d):
     return X.vocabulary(_df(spark, d), _n(spark, d), 0.05, 0.995, 2, 0.5)
 

@@ -143,15 +143,16 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     rows = all_lines.where("trim(line) != '' and not trim(line) like '#%'").join(F.broadcast(kinds), "file")  # a row a file
     cells = F.transform(F.split(F.rtrim("line"), "\t"), lambda c: F.trim(c))
     rows = rows.withColumn("c", cells).withColumn("kind", F.when(F.col("kinds"), F.col("c")[0]).otherwise("statement"))
-    rows = rows.where("kind != 'edge'").withColumn("c", F.when(F.col("kinds") & (F.col("kind") == "statement"), F.expr("slice(c, 2, size(c))")).otherwise(F.col("c")))
-    rows = rows.where(~((F.lower(F.get("c", F.lit(0))) == "from") & (F.lower(F.get("c", F.lit(1))) == "to") & (F.size("c") >= 2)))
+    rows = rows.withColumn("c", F.when(F.col("kinds") & (F.col("kind") == "statement"), F.expr("slice(c, 2, size(c))")).otherwise(F.col("c")))
+    heads = F.coalesce((F.lower(F.get("c", F.lit(0))) == "from") & (F.lower(F.get("c", F.lit(1))) == "to"), F.lit(False))
+    passed = (F.col("kind") == "edge") | heads  # told again in the fault: filters may run in any order
     relation = F.lower(F.get("c", F.lit(2)))
     fault = (
-        F.when(F.col("kind") != "statement", "expected an edge or statement row").when(F.size("c") < 3, "expected from, to and relation")
+        F.when(passed, F.lit(None)).when(F.col("kind") != "statement", "expected an edge or statement row").when(F.size("c") < 3, "expected from, to and relation")
         .when(~relation.isin("precedes", "unrelated"), "relation must be precedes or unrelated").when(F.col("c")[0] == F.col("c")[1], "a class cannot precede itself")
     )
     checked = rows.withColumn("fault", fault).withColumn("stop", F.when(F.col("fault").isNotNull(), F.raise_error(F.concat_ws(": ", F.concat_ws(":", "file", "line_no"), "fault"))))
-    return checked.where("stop is null").select(F.col("c")[0].alias("a"), F.col("c")[1].alias("b"), relation.alias("relation"), F.expr("array_join(slice(c, 4, greatest(size(c) - 3, 0)), ' ')").alias("note"), "line_no")
+    return checked.where(~passed & F.col("stop").isNull()).select(F.col("c")[0].alias("a"), F.col("c")[1].alias("b"), relation.alias("relation"), F.expr("array_join(slice(c, 4, greatest(size(c) - 3, 0)), ' ')").alias("note"), "line_no")
 
 
 DECISION = (
@@ -164,7 +165,7 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Decisions of JSON lines, leniently: only lines that start with a brace count; one of these that isn't JSON is an error with its line."""
     rows = lines(spark, path).where("ltrim(line) like '{%'")
     parsed = rows.withColumn("whole", F.try_parse_json("line")).withColumn("d", F.from_json("line", DECISION))
-    stop = F.when(F.col("whole").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(":"), F.col("line_no"), F.lit(": not JSON"))))
+    stop = F.when(F.ltrim("line").startswith("{") & F.col("whole").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(":"), F.col("line_no"), F.lit(": not JSON"))))
     return parsed.withColumn("stop", stop).where("stop is null").select("line_no", "d.*")
 
 

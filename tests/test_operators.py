@@ -151,6 +151,6 @@ def test_within_covariance_takes_every_dimension(spark):
     for g in set(grp):
         x[grp == g] -= x[grp == g].mean(axis=0)
     expected = x.T @ x / (len(x) - len(set(grp)))
-    got = {(r.i, r.j): r.cov for r in QUERIES["within_covariance_whole"](spark, folder).collect()}
+    got = {(r.i, r.j): r.cov for r in QUERIES["within_covariance"](spark, folder).collect()}
     assert len(got) == x.shape[1] * (x.shape[1] + 1) // 2
     assert all(abs(c - expected[i, j]) < 1e-5 for (i, j), c in got.items())
