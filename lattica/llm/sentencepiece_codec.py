@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import in_portions, vocabulary, worker_kept
+from lattica.llm.common import fresh, in_portions, vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # stands for a space
@@ -98,6 +98,31 @@ class PieceCodec:
         self.made = np.array([*(pairs[k][1] for k in keys), 0], np.int64)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.block, self.block_ids = self._block_of_marks()
+
+    def _block_of_marks(self) -> tuple[int, bytes]:
+        """Length and identifier of the piece that long runs of marks repeat; 0 where they don't.
+
+        If all pairs of runs of marks rank alike, the leftmost merges first, so a run is finished
+        block by block from its left and a block depends on nothing beyond the next one.
+        """
+        runs = {len(p): i for i, p in enumerate(self.pieces) if p and not p.strip(MARK)}
+        longest = max(runs, default=0)
+        sizes = np.array(sorted(runs), np.int64)
+        ids = np.array([runs[n] for n in sorted(runs)], np.int64)
+        rank = self._rank(np.repeat(ids, len(ids)), np.tile(ids, len(ids)))[0]
+        alike = len(set(rank[rank < _NONE].tolist())) == 1
+        if longest < 2 or not alike or len(sizes) < 2:
+            return 0, b""
+        whole = self.merge_words([MARK * (8 * longest)])[0]
+        block = np.array([runs[longest]], "<u4").tobytes()
+        return (longest, block) if whole == block * 8 else (0, b"")
+
+    def _blocks_before(self, word: str) -> int:
+        """How many whole blocks of marks a word starts with that needn't be merged; two more stay with the rest."""
+        if not self.block or len(word) <= 4 * self.block:
+            return 0
+        return max(0, (len(word) - len(word.lstrip(MARK))) // self.block - 2)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; no pair: the largest rank."""
@@ -136,6 +161,13 @@ class PieceCodec:
             new, gone, new_rank, new_made = self._merged(take, symbols, word, rank, made)
             at_least = np.full(len(words) + 1, _NONE)
             np.minimum.at(at_least, word[take], np.minimum(new_rank[take], np.where(take > 0, new_rank[take - 1], _NONE)))
+            # What was made also meets its neighbours as they are now, before they merge themselves.
+            for side, step in ((take + 2, 2), (take - 1, -1)):
+                near = (side >= 0) & (side < len(word))
+                near[near] = word[side[near]] == word[take[near]]
+                i = take[near]
+                left, right = (made[i], symbols[i + 2]) if step > 0 else (symbols[i - 1], made[i])
+                np.minimum.at(at_least, word[i], self._rank(left, right)[0])
             early = at_least[word[take]] <= rank[take]  # a new pair comes before the other merges
             if early.any():
                 leftmost = np.r_[True, word[take[1:]] != word[take[:-1]]]
@@ -205,7 +237,9 @@ class PieceCodec:
             if len(self.known) + len(missing) > CACHED_WORDS:
                 self.known, missing = {}, list(distinct)
             if missing:
-                self.known.update(zip(missing, self.merge_words(missing)))
+                before = [self._blocks_before(w) for w in missing]
+                merged = self.merge_words([w[k * self.block :] for w, k in zip(missing, before)])
+                self.known.update((w, self.block_ids * k + m) for w, k, m in zip(missing, before, merged))
             for words in cut:
                 yield head + b"".join(map(self.known.__getitem__, words)) + tail
 
@@ -266,8 +300,9 @@ def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "ids", deco
             packed = list(c.encode_packed(texts))
             yield pd.DataFrame({"ids": packed, "decoded": [c.decode_packed(p) for p in packed]})
 
-    both = df.withColumn("_both", run(F.col(text_col).cast("string")))
-    return both.withColumns({ids_col: F.col("_both.ids"), decoded_col: F.col("_both.decoded")}).drop("_both")
+    name = fresh(df, "_both")
+    both = df.withColumn(name, run(F.col(text_col).cast("string")))
+    return both.withColumns({ids_col: F.col(f"{name}.ids"), decoded_col: F.col(f"{name}.decoded")}).drop(name)
 
 
 def unpack(ids_col: str) -> "F.Column":
