@@ -175,7 +175,9 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", m
         for texts in batches:
             yield pd.Series(list(statistics_matrix(texts)), dtype=object)
 
-    pdf = rows.select("doc_id", "_label", measure("text").alias("x")).limit(2 * most).toPandas()  # ids may repeat
+    # Of rows that share an identifier the smallest text counts: ``most`` rows at most, always the same.
+    one = rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    pdf = one.select("doc_id", "_label", measure("text").alias("x")).toPandas()
     pdf = pdf.sort_values(["doc_id", "_label"], kind="stable")
     x = np.stack(pdf["x"].to_list()) if len(pdf) else np.zeros((0, len(STATISTICS)))
     order = np.lexsort([*x.T, pdf["_label"].to_numpy(float), pdf["doc_id"].to_numpy()])

@@ -115,6 +115,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": """
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), places AS (
+            SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0
+        ), shingles AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM places
+        ), sizes AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS MATERIALIZED (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+        ), components AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1
+        )
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM components LEFT JOIN sizes USING (doc_id)
+    """,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
