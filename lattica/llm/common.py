@@ -23,10 +23,12 @@ def vocabulary(name_or_path: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in tests on one machine) a local one is set.
+    Where it is unset a local one serves on one machine, as in tests; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/lattica-checkpoints"
     return folder
 
@@ -48,6 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Memo(dict):
     """A dict that computes missing values and starts afresh at ``limit`` entries.
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lattica.llm.common import Memo, durable
+from lattica.llm.common import Memo, durable, fresh
 
 #: The band: terms of at least 1 and at most 50 documents in a thousand (and two at least).
 LEAST_SHARE, MOST_SHARE = 0.001, 0.05
@@ -219,9 +219,10 @@ def with_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str], li
                 result[f"l{i}"] = [likeness(x, y) for x, y in zip(all_columns[a], all_columns[b])]
             yield pd.DataFrame(result)
 
-    both = df.withColumn("_f", run(*[F.col(c).cast("string") for c in columns], *[F.col(c) for c in present]))
-    named = {o: F.col(f"_f.f{i}") for i, o in enumerate(outputs)} | {o: F.col(f"_f.l{i}") for i, o in enumerate(likenesses)}
-    return both.withColumns(named).drop("_f")
+    f = fresh(df, "_f")
+    both = df.withColumn(f, run(*[F.col(c).cast("string") for c in columns], *[F.col(c) for c in present]))
+    named = {o: F.col(f"{f}.f{i}") for i, o in enumerate(outputs)} | {o: F.col(f"{f}.l{i}") for i, o in enumerate(likenesses)}
+    return both.withColumns(named).drop(f)
 
 
 def _joined_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -235,12 +236,13 @@ def _joined_fingerprints(df: DataFrame, lex: DataFrame, columns: dict[str, str])
     def finish(found: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(np.unique(np.array([] if f is None else f, np.int64)), t) for f, t in zip(found, texts)], dtype=object)
 
-    out = durable(df.withColumn("_row", F.monotonically_increasing_id()))
+    row, terms_of = fresh(df, "_row"), fresh(df, "_found")
+    out = durable(df.withColumn(row, F.monotonically_increasing_id()))
     for text, name in columns.items():
-        kept = out.select("_row", F.explode(hashed(F.col(text).cast("string"))).alias("term")).join(lex, "term")
-        found = kept.groupBy("_row").agg(F.collect_list("term").alias("_found"))  # one document's terms
-        out = out.join(found, "_row", "left").withColumn(name, finish("_found", F.col(text).cast("string"))).drop("_found")
-    return out.drop("_row")
+        kept = out.select(row, F.explode(hashed(F.col(text).cast("string"))).alias("term")).join(lex, "term")
+        found = kept.groupBy(row).agg(F.collect_list("term").alias(terms_of))  # one document's terms
+        out = out.join(found, row, "left").withColumn(name, finish(terms_of, F.col(text).cast("string"))).drop(terms_of)
+    return out.drop(row)
 
 
 @F.pandas_udf(T.DoubleType())

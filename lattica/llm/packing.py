@@ -19,8 +19,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lattica.llm.common import in_portions, vocabulary, worker_kept
+from lattica.llm.common import fresh, in_portions, vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose identifiers a worker keeps (about 100 MB) and those that the library
@@ -72,6 +73,21 @@ def encoder(path: str) -> WordEncoder:
     return worker_kept(WordEncoder, path)
 
 
+def batched(pieces: DataFrame, tokens: int = 2048) -> DataFrame:
+    """``pieces`` dealt into batches of equal-length sequences: (bucket, batch, row) beside their columns.
+
+    A batch of a bucket holds tokens / length sequences (one at least; the last of a partition may
+    hold fewer), so every batch is a rectangle without padding.  Pieces meet by bucket and
+    partition, never a whole bucket in one task.
+    """
+    part, n = fresh(pieces, "_part"), fresh(pieces, "_n")
+    by = Window.partitionBy("bucket", part).orderBy("doc_id", "start", "sequence_id")
+    numbered = pieces.withColumn(part, F.spark_partition_id()).withColumn(n, F.row_number().over(by) - 1)
+    height = F.greatest(F.lit(1), F.floor(F.lit(tokens) / F.col("bucket")))
+    batch = F.concat_ws("-", "bucket", part, F.floor(F.col(n) / height))
+    return numbered.withColumns({"batch": batch, "row": F.pmod(n, height).cast("int")}).drop(part, n)
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCABULARY, end_id: int = 1, most: int = 2048) -> DataFrame:
     """A row per piece: id, start, length, doc_tokens, ids (packed binary), bucket, sequence_id, offset.
 

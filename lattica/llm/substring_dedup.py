@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import durable
+from lattica.llm.common import durable, fresh
 
 #: The least sentences (or clauses) of a run, and its least words.
 SPAN, LEAST_WORDS = 2, 12
@@ -146,13 +146,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     held = durable(base.mapInArrow(_run_rows, f"run long, id {id_type}"))
     shared = held.groupBy("run").agg(F.count(F.lit(1)).alias("holders"), F.min("id").alias("first")).where("holders > 1").select("run", "first")
     later = held.join(shared, "run").where("id > first").select("id", "run")
-    marks = later.groupBy("id").agg(F.collect_set("run").alias("_runs")).select(F.col("id").alias("_id"), "_runs")  # at most a document's own runs
+    own, found = fresh(df, "_id"), fresh(df, "_runs")
+    marks = later.groupBy("id").agg(F.collect_set("run").alias(found)).select(F.col("id").alias(own), found)  # at most a document's own runs
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, found in batches:
             yield pd.Series([t and remove_covered(t, set() if f is None else set(f)) for t, f in zip(texts, found)], dtype=object)
 
-    joined = df.join(marks, F.col(id_col) == F.col("_id"), "left")
-    cleaned = joined.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col("_runs")))
+    joined = df.join(marks, F.col(f"`{id_col}`") == F.col(own), "left")
+    cleaned = joined.withColumn(text_col, clean(F.col(f"`{text_col}`").cast("string"), F.col(found)))
     return cleaned.select(*[F.col(f"`{c}`") for c in df.columns])
