@@ -16,7 +16,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,9 +24,11 @@ from pyspark.sql.window import Window
 from lattica.llm.common import fresh, in_portions, vocabulary, worker_kept
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose identifiers a worker keeps (about 100 MB) and those that the library
+#: Distinct words whose identifiers a worker keeps (about 200 MB) and those that the library
 #: encodes at once.
-CACHED_WORDS, ENCODED_AT_ONCE = 400_000, 20_000
+CACHED_WORDS, ENCODED_AT_ONCE = 1_000_000, 20_000
+#: Bytes of identifiers after which a worker hands on what it has encoded.
+HANDED_ON = 4_000_000
 
 
 class WordEncoder:
@@ -97,13 +99,26 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: s
         raise ValueError("the sequence length is a power of two")
     path = vocabulary(vocab)
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for texts in batches:
-            yield pd.Series(list(e.encode_packed(texts, end_id)), dtype=object)
-
-    encoded = df.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col).cast("string")).alias("_ids"))
+        for batch in batches:
+            at, size, packed = 0, 0, []
+
+            def handed_on() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary())], names=["doc_id", "_ids"])
+
+            for ids in e.encode_packed((t.as_py() for t in batch.column(1)), end_id):
+                packed.append(ids)
+                size += len(ids)
+                if size > HANDED_ON:
+                    yield handed_on()
+                    at, size, packed = at + len(packed), 0, []
+            if packed:
+                yield handed_on()
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    encoded = rows.mapInArrow(encode, f"doc_id {id_type}, _ids binary")
     counted = encoded.withColumn("doc_tokens", F.expr("cast(octet_length(_ids) div 4 as long)"))
     halves = ", ".join(f"{1 << k}L" for k in reversed(range(most.bit_length() - 1)))
     rest = f"transform(filter(array({halves}), p -> doc_tokens & p > 0), p -> struct(doc_tokens - doc_tokens % (2 * p) as start, p as length))" if halves else "array()"
