@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from lattica.operators import graph as G
 from lattica.operators import labels as L
+from lattica.operators import matching as M
 from lattica.operators import names as N
-from lattica.operators import profile as P
+from lattica.operators import priors as PR
 from lattica.operators import selection as C
 from lattica.sources import tables as T
 from lattica.sources.tables import with_inputs
@@ -18,7 +19,9 @@ QUERIES, ORACLE_SQL = {}, {}
 
 def query(name, sql):
     def register(f):
-        QUERIES[name], ORACLE_SQL[name] = f, sql
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
         return f
 
     return register
@@ -287,3 +290,58 @@ def taxonomy_walk(spark, d):
     mass = C.node_mass(G.closure(T.taxonomy(spark, d)), _leaf_mass(spark, d))
     roots = spark.createDataFrame([("ROOT",)], "id string")
     return C.walk(T.taxonomy(spark, d), roots, mass, least=0.05).withColumn("mass", F.round("mass", 6))
+
+
+def _labels(spark, d):
+    k, n = F.col("n_nationkey"), T.table(spark, d, "nation")
+    label = (
+        F.when(k % 4 == 0, F.lower("n_name")).when(k % 4 == 1, F.concat(F.lit("Nations, "), k)).when(k % 4 == 2, F.concat(k, F.lit(" nation")))
+        .when(k % 8 == 3, F.concat("n_name", F.lit("_extra"))).otherwise(F.concat("n_name", F.lit(" other")))
+    )
+    labels = n.select(label.alias("label")).unionByName(spark.createDataFrame([("The First",)], "label string"))
+    names = n.select(F.concat(F.lit("N"), k).alias("id"), F.col("n_name").alias("name"), F.lit(True).alias("own"))
+    return M.match_labels(labels, names, spark.createDataFrame([("The_First", "N0")], "key string, id string"), ["extra"])
+
+
+_MATCHED = """WITH m AS (SELECT CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) WHEN n_nationkey % 4 = 1 THEN 'Nations, ' || n_nationkey WHEN n_nationkey % 4 = 2 THEN n_nationkey || ' nation'
+    WHEN n_nationkey % 8 = 3 THEN n_name || '_extra' ELSE n_name || ' other' END AS label, CASE WHEN n_nationkey % 8 < 7 THEN 'N' || n_nationkey END AS id,
+    CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE ['name', 'singular', 'order', 'unqualified'][n_nationkey % 4 + 1] END AS how FROM nation UNION ALL SELECT 'The First', 'N0', 'alias')"""
+
+
+@query("label_matching", _MATCHED + " SELECT label, id, how FROM m")
+def label_matching(spark, d):
+    return _labels(spark, d)
+
+
+@query("placement_counts", _MATCHED + " SELECT coalesce(how, 'unmatched') AS how, count(*) AS labels FROM m GROUP BY 1")
+def placement_counts(spark, d):
+    return M.placement_counts(_labels(spark, d))
+
+
+@query("prior_edges", with_inputs("SELECT parent AS a, child AS b FROM taxonomy", "taxonomy"))
+def prior_edges(spark, d):
+    told = T.taxonomy(spark, d).select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit("precedes").alias("relation"), F.lit(1).alias("layer"), F.lit(0).alias("line"))
+    short = T.taxonomy(spark, d).select(F.lit("ROOT").alias("a"), F.col("child").alias("b"), F.lit("precedes").alias("relation"), F.lit(0).alias("layer"), F.lit(0).alias("line"))
+    return PR.build_prior(told.unionByName(short))["edges"]
+
+
+@query("prepared_vectors", with_inputs("""+ e AS (SELECT obs, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM vectors), c AS (SELECT dim, avg(exp(x)) AS m, stddev_pop(exp(x)) AS s FROM e GROUP BY 1)
+    SELECT obs, dim::INTEGER AS dim, round(CASE WHEN s > 0 THEN (exp(x) - m) / s ELSE 0 END, 5) AS x FROM e JOIN c USING (dim)""", "vectors"))
+def prepared_vectors(spark, d):
+    return M.prepared(T.vectors(spark, d), "exp_z").select("obs", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 5))
+
+
+@query("whitened_vectors", None)
+def whitened_vectors(spark, d):
+    v = T.vectors(spark, d)
+    return M.whitened(v, G.balanced_centre(v), G.within_covariance(v))
+
+
+@query("kind_words", """WITH p AS (SELECT n_nationkey % 3 AS r, count(*) AS n FROM nation GROUP BY 1) SELECT CASE r WHEN 0 THEN 'big' WHEN 1 THEN 'small' ELSE 'odd' END AS word, n AS pairs, CASE r WHEN 2 THEN 0 ELSE n END AS kinds, CASE r WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS share FROM p""")
+def kind_words(spark, d):
+    n, k = T.table(spark, d, "nation"), F.col("n_nationkey")
+    word = F.when(k % 3 == 0, "Big ").when(k % 3 == 1, "small ").otherwise("odd ")
+    plain = n.select(F.concat(F.lit("N"), k).alias("id"), F.col("n_name").alias("name"))
+    longer = n.select(F.concat(F.lit("M"), k).alias("id"), F.concat(word, "n_name").alias("name"))
+    below = n.where(k % 3 < 2).select(F.concat(F.lit("M"), k).alias("id"), F.concat(F.lit("N"), k).alias("anc"))
+    return M.kind_words(plain.unionByName(longer), below)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattica.operators.labels import label_key
 
@@ -172,3 +171,18 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """(pattern): trimmed lines that are neither blank nor # comments, each once."""
     return spark.read.text(path).select(F.trim("value").alias("pattern")).where("pattern != '' and not pattern like '#%'").distinct()
+
+
+def read_mixed(spark: SparkSession, path: str) -> DataFrame:
+    """(label, part, place) of mixed labels: a name and its parts by tabs; a repeated name counts once, with its last line."""
+    cells = lines(spark, path).where("trim(line) != '' and not line like '#%'").withColumn("c", F.transform(F.split("line", "\t"), lambda x: F.trim(x))).where("size(c) >= 3")
+    last = cells.groupBy(F.col("c")[0].alias("label")).agg(F.max_by("c", F.struct("file", "line_no")).alias("c"))
+    return last.select("label", F.posexplode(F.expr("filter(slice(c, 2, size(c)), x -> x != '')")).alias("place", "part")).select("label", "part", "place")
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(key, answer) of answers ``join``, ``alone`` or ``none`` by label; the last line of a key counts, others than these are an error."""
+    cells = lines(spark, path).where("trim(line) != '' and not line like '#%'").withColumn("c", F.split("line", "\t"))
+    answer = F.lower(F.trim(F.get("c", F.lit(1))))
+    known = F.when(answer.isin("join", "alone", "none"), answer).otherwise(F.raise_error(F.concat_ws(":", "file", "line_no", F.lit(" an answer is join, alone or none"))))
+    return cells.groupBy(label_key(F.col("c")[0]).alias("key")).agg(F.max_by(known, F.struct("file", "line_no")).alias("answer"))
