@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,6 +81,16 @@ class Memo(dict):
 _kept: dict = {}
 
 
+def forget() -> None:
+    """Drops what the worker's earlier operators kept and hands the memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+        if trim:
+            trim(0)
+
+
 def worker_kept(make: Callable, *args):
     """What an operator keeps in its worker from task to task, made by ``make(*args)``.
 
@@ -86,7 +98,7 @@ def worker_kept(make: Callable, *args):
     so that a worker holds one operator's caches only.
     """
     if (make, args) not in _kept:
-        _kept.clear()
+        forget()
         _kept[make, args] = make(*args)
     return _kept[make, args]
 

@@ -84,7 +84,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             s = shingles(text.as_py())
             sizes.append(len(s))
             sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sketches.append(s[:SKETCH])
+            sketches.append(s[:SKETCH].copy())  # a view would keep the whole set
         ends = np.cumsum([0, *map(len, sketches)])
         flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(

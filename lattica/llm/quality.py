@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import forget
+
 #: What a score may depend on; all of the text alone.
 STATISTICS = (
     "chars", "words", "word_length", "upper", "digits", "spaces", "line_ends", "non_ascii", "letters",
@@ -172,6 +174,7 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", m
 
     @F.pandas_udf("array<double>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for texts in batches:
             yield pd.Series(list(statistics_matrix(texts)), dtype=object)
 
@@ -189,6 +192,7 @@ def with_scores(df: DataFrame, model: BoostedTrees, text_col: str = "text", out_
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for texts in batches:
             yield pd.Series(model.probability(statistics_matrix(texts)), dtype=float)
 
