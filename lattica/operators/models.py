@@ -281,8 +281,8 @@ def call_order(items: list[tuple[str, float, float]], tie: float = 0.01) -> list
 def regions(points: DataFrame, rounds: int = 100) -> DataFrame:
     """(obs, call, membership): isotropic mixture on the unit sphere with fixed centres, the groups' mean directions.
 
-    All of ``rounds`` are run.  Only a few sums for each region come to the driver in a round;
-    memberships are computed where the vectors are.
+    All of ``rounds`` are run.  In a round each partition gives one row of sums for each region, and
+    only their totals come to the driver; memberships are computed where the vectors are.
     """
     dims = points.select("grp", F.posexplode("vec").alias("k", "x")).groupBy("grp", "k").agg(F.avg("x").alias("x")).collect()
     names = sorted({r["grp"] for r in dims})
@@ -306,9 +306,12 @@ def regions(points: DataFrame, rounds: int = 100) -> DataFrame:
         w, v = weight.copy(), var.copy()
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mass, spread = np.zeros(len(names)), np.zeros(len(names))
             for pdf in batches:
-                p, far = responsibilities(pdf["vec"], w, v)
-                yield pd.DataFrame({"r": np.arange(len(names)), "p": p.sum(axis=0), "far": (p * far).sum(axis=0)})
+                if len(pdf):
+                    p, far = responsibilities(pdf["vec"], w, v)
+                    mass, spread = mass + p.sum(axis=0), spread + (p * far).sum(axis=0)
+            yield pd.DataFrame({"r": np.arange(len(names)), "p": mass, "far": spread})
 
         total = points.select("vec").mapInPandas(sums, "r int, p double, far double").groupBy("r").agg(F.sum("p").alias("p"), F.sum("far").alias("far")).toPandas().set_index("r").reindex(range(len(names))).fillna(0.0)
         mass = np.maximum(total["p"].to_numpy(), 1e-9)
