@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import ann, imatch, minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc
-from lattica.llm.common import scratch_path, table
+from lattica.llm import alignment, ann, chat, imatch, minhash, packing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts, warc, yinyang
+from lattica.llm.common import durable, scratch_path, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return yinyang.with_inertia(*yinyang.cluster(rows, clusters=16, rounds=3, dimension=64, scale=64, seed=1))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(durable(chat.formatted(rows)))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
@@ -111,8 +129,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
     "op10_ann": op10_ann,
+    "op11_yinyang": op11_yinyang,
+    "op12_chat": op12_chat,
+    "op13_alignment": op13_alignment,
 }
 
+
+def _clustering_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds by full scans."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (w.v[i] - c.v[i]) * (w.v[i] - c.v[i])))::BIGINT"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""far{i} AS MATERIALIZED (SELECT w.r, c.n, {square} AS far FROM w, c{i} AS c),
+            own{i} AS MATERIALIZED (SELECT r, n, far FROM far{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, n) = 1)""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS (
+                SELECT n, i, (sum(w.v[i]) - ((sum(w.v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m
+                FROM own{i} JOIN w USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY n, i
+            ), c{i + 1} AS MATERIALIZED (
+                SELECT c.n, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT n, list(m::BIGINT ORDER BY i) AS v FROM mean{i} GROUP BY n) m USING (n)
+            )""")
+    return f"""
+        WITH w AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS n, v FROM w WHERE vec_id IS NOT NULL
+            QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {clusters}
+        ), {", ".join(steps)}
+        SELECT w.vec_id, o.n::INTEGER AS cluster, o.far AS distance, (sum(o.far) OVER (PARTITION BY o.n))::BIGINT AS cluster_inertia,
+               (sum(o.far) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM own{rounds} o JOIN w USING (r) JOIN c{rounds} c ON c.n = o.n
+    """
+
 #: DuckDB SQL where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": """
@@ -150,4 +200,21 @@ ORACLE_SQL: dict[str, str] = {
                true AS complete
         FROM f
     """,
+    "op11_yinyang": _clustering_sql(),
+    "op12_chat": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), marks AS (
+            SELECT *, length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+                + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS escaped,
+                length(regexp_replace(role, '[^\\:\n]', '', 'g')) AS role_escaped
+            FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(role) + role_escaped + length(text) + escaped + 14)::BIGINT AS formatted_chars
+        FROM marks GROUP BY conv_id
+    """,
 }
