@@ -120,13 +120,12 @@ def hidden(features: DataFrame, patterns: DataFrame, column: str = "feature") ->
 
     Exact names are an equi-join; only patterns with a star, a curated few, are tried one by one.
     """
-    exact = features.join(patterns.where("not contains(pattern, '*')").select(F.col("pattern").alias(column)), column, "left_semi")
+    exact = patterns.where("not contains(pattern, '*')").select(F.col("pattern").alias("_exact")).distinct()
     stars = [r[0] for r in patterns.where("contains(pattern, '*')").select(glob_pattern("pattern")).limit(10_001).collect()]
     if len(stars) > 10_000:
         raise ValueError("more than 10,000 patterns with a star")
-    if not stars:
-        return exact
-    return exact.unionByName(features.where(F.col(column).rlike("|".join(f"(?:{s})" for s in sorted(stars))))).dropDuplicates()
+    covered = F.col(column).rlike("|".join(f"(?:{s})" for s in sorted(stars))) if stars else F.lit(False)
+    return features.join(exact, F.col(column) == F.col("_exact"), "left").where(F.col("_exact").isNotNull() | covered).drop("_exact")
 
 
 def feature_keys(features: DataFrame, name: str = "feature") -> DataFrame:

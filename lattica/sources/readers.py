@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators.labels import label_key
+from lattica.operators.labels import group_id, label_key
 
 #: Names of header cells.
 TYPE_HEADERS, FEATURE_HEADERS = ("celltype", "cell_type", "type", "label"), ("gene", "symbol")
@@ -51,18 +51,26 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
 def read_labels(spark: SparkSession, path: str, short_rows: list[int] | None = None) -> DataFrame:
     """(key, label, probability) of observations: Parquet by column names, or delimited text.
 
-    Text has the observation first and its label second; # lines, a ``cell`` header and rows
-    without a label column are left out, the last counted into ``short_rows``.
+    Text has the observation first and its label second; # lines, a header (a file's first row, if
+    it names ``cell`` first) and rows without a label column are left out, the last counted into
+    ``short_rows``.  A header's ``probability`` column is read by its name.
     """
     if path.rstrip("/").endswith((".parquet", ".pq")):
         table = spark.read.parquet(path)
         p = F.col("probability").cast("double") if "probability" in table.columns else F.lit(None).cast("double")
         return table.select(F.col("cell").cast("string").alias("key"), F.col("cell_type").cast("string").alias("label"), p.alias("probability")).where("key != '' and label != ''")
-    rows = spark.read.text(path).where("trim(value) != '' and not value like '#%'").select(_cells(F.col("value")).alias("c"))
-    rows = rows.where(F.col("c")[0] != "").where(F.lower(F.col("c")[0]) != "cell")
+    told = "trim(value) != '' and not value like '#%'"
+    every = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value").where(told)
+    rows = every.where("block = 0")  # a file's first row lies in its first block
+    first = rows.groupBy("file").agg(F.min_by(F.struct("at", _cells(F.col("value")).alias("c")), "at").alias("h"))
+    names = F.transform("h.c", lambda c: F.lower(c))
+    heads = first.where(F.lower(F.col("h.c")[0]) == "cell").select("file", F.col("h.at").alias("head"), F.array_position(names, "probability").alias("place"))
+    body = every.join(F.broadcast(heads), "file", "left").where("head is null or at != head").withColumn("c", _cells(F.col("value")))  # a row a file
+    body = body.where(F.col("c")[0] != "")
     if short_rows is not None:
-        short_rows.append(rows.where(F.size("c") < 2).count())
-    return rows.where(F.size("c") >= 2).select(F.col("c")[0].alias("key"), F.col("c")[1].alias("label"), F.lit(None).cast("double").alias("probability"))
+        short_rows.append(body.where(F.size("c") < 2).count())
+    p = F.when(F.col("place") > 0, F.get("c", F.col("place").cast("int") - 1)).try_cast("double")
+    return body.where(F.size("c") >= 2).select(F.col("c")[0].alias("key"), F.col("c")[1].alias("label"), p.alias("probability"))
 
 
 def read_groups(groups: DataFrame, key: str) -> DataFrame:
@@ -101,9 +109,9 @@ def read_taxonomy(spark: SparkSession, path: str, scopes: tuple[str, ...] = ("EX
     stanza = spark.read.text(path, lineSep="\n[").select(F.regexp_replace("value", r"(?m)^[ \t]+|[ \t\r]+$", "").alias("s")).where(F.col("s").rlike(r"^\[?Term\]"))
     one = lambda tag: F.regexp_extract("s", rf"(?m)^{tag}:[ \t]*(.*)$", 1)
     every = lambda pattern, group=1: F.regexp_extract_all("s", F.lit(rf"(?m)^{pattern}"), F.lit(group))
-    synonym = r'synonym:[ \t]*"([^"]*)"[ \t]*(\S*)'
+    synonym = r'synonym:[ \t]*"((?:[^"\\]|\\.)*)"[ \t]*(\S*)'  # quotes inside are escaped
     pairs = F.arrays_zip(every(synonym, 1).alias("text"), every(synonym, 2).alias("scope"))
-    kept = F.transform(F.filter(pairs, lambda x: x["scope"].isin(*scopes)), lambda x: x["text"])
+    kept = F.transform(F.filter(pairs, lambda x: x["scope"].isin(*scopes)), lambda x: F.regexp_replace(x["text"], r"\\(.)", "$1"))
     return stanza.select(
         F.trim(one("id")).alias("id"), F.trim(one("name")).alias("name"), kept.alias("synonyms"), every(r"is_a:[ \t]*(\S+)").alias("parents"),
         every(r"relationship:[ \t]*(?:RO:0002202|develops_from)[ \t]+(\S+)").alias("origins"), every(r"subset:[ \t]*(\S+)").alias("subsets"),
@@ -155,17 +163,44 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 
 DECISION = (
-    "action string, groups array<string>, label string, features array<string>, into string, round string, rationale string, "
-    "decided_by string, timestamp string, evidence array<string>"
+    "action string, label string, features array<string>, into string, round string, rationale string, "
+    "decided_by string, timestamp string, evidence array<string>, alternatives array<string>"
 )
+# Who may have decided.
+DECIDED_BY = ("user", "agent_proposed_user_accepted", "user_override", "agent")
+
+
+def _group_ids(whole: Column) -> tuple[Column, Column]:
+    """(ids as text, ids) of ``cluster``, ``clusters`` or ``groups``: a number, a string or a list of them; none is an empty list."""
+    raw = F.coalesce(*[F.to_json(F.try_variant_get(whole, f"$.{name}", "variant")) for name in ("cluster", "clusters", "groups")], F.lit("[]"))
+    listed = F.when(F.trim(raw) == "null", F.lit("[]")).when(F.startswith(raw, F.lit("[")), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    texts = F.from_json(listed, "array<string>")
+    return texts, F.transform(texts, group_id)
+
+
+def parse_decisions(rows: DataFrame) -> DataFrame:
+    """Decisions of (file, line_no, line): only lines that start with a brace count, others are prose.
+
+    ``groups`` are integers, told as ``cluster``, ``clusters`` or ``groups``.  A line that isn't JSON,
+    holds an unreadable group id or doesn't say who decided is an error that names it.
+    """
+    brace = F.ltrim("line").startswith("{")
+    parsed = rows.where(brace).withColumn("whole", F.try_parse_json("line")).withColumn("d", F.from_json("line", DECISION))
+    texts, ids = _group_ids(F.col("whole"))
+    parsed = parsed.withColumn("texts", texts).withColumn("groups", ids)
+    bad = F.filter("texts", lambda t: group_id(t).isNull())
+    fault = (
+        F.when(~brace, F.lit(None)).when(F.col("whole").isNull(), "not JSON").when(F.col("texts").isNull(), "not a group id")
+        .when(F.size(bad) > 0, F.concat(F.lit("not a group id: "), F.coalesce(F.element_at(bad, 1), F.lit("null"))))
+        .when(~F.coalesce(F.col("d.decided_by").isin(*DECIDED_BY), F.lit(False)), F.concat(F.lit("decided_by must be one of "), F.lit(", ".join(DECIDED_BY))))
+    )
+    checked = parsed.withColumn("fault", fault).withColumn("stop", F.when(F.col("fault").isNotNull(), F.raise_error(F.concat_ws(":", F.coalesce("file", F.lit("decisions")), "line_no", F.concat(F.lit(" "), F.col("fault"))))))
+    return checked.where("stop is null").select("line_no", "groups", "d.*")
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decisions of JSON lines, leniently: only lines that start with a brace count; one of these that isn't JSON is an error with its line."""
-    rows = lines(spark, path).where("ltrim(line) like '{%'")
-    parsed = rows.withColumn("whole", F.try_parse_json("line")).withColumn("d", F.from_json("line", DECISION))
-    stop = F.when(F.ltrim("line").startswith("{") & F.col("whole").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(":"), F.col("line_no"), F.lit(": not JSON"))))
-    return parsed.withColumn("stop", stop).where("stop is null").select("line_no", "d.*")
+    """Decisions of JSON lines, see :func:`parse_decisions`."""
+    return parse_decisions(lines(spark, path))
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:

@@ -68,12 +68,48 @@ def test_statements_read_a_written_prior_and_name_bad_lines(spark, tmp_path):
 
 
 def test_decisions_are_lenient_but_not_with_broken_json(spark, tmp_path):
-    good = put(tmp_path, "d.jsonl", 'Sure:\n```\n {"action": "label", "groups": ["K1"], "label": "T"}\n```\n')
-    assert [(r.line_no, r.action, r.groups) for r in R.read_decisions(spark, good).collect()] == [(3, "label", ["K1"])]
+    good = put(tmp_path, "d.jsonl", 'Sure:\n```\n {"action": "label", "groups": ["K1"], "label": "T", "decided_by": "user"}\n```\n')
+    assert [(r.line_no, r.action, r.groups) for r in R.read_decisions(spark, good).collect()] == [(3, "label", [1])]
     with pytest.raises(Exception, match=":2: not JSON"):
         R.read_decisions(spark, put(tmp_path, "e.jsonl", 'x\n{"action": \n')).collect()
 
 
+def test_decisions_name_groups_in_every_form(spark, tmp_path):
+    by = '"action": "keep", "decided_by": "agent"'
+    forms = ['"cluster": 5', '"cluster": "K12"', '"cluster": [1, "C2", "3"]', '"clusters": "7"', '"clusters": []', '"groups": 0', '"label": "none named"', '"cluster": null']
+    path = put(tmp_path, "f.jsonl", "\n".join(f"{{{by}, {x}}}" for x in forms))
+    assert [r.groups for r in R.read_decisions(spark, path).orderBy("line_no").collect()] == [[5], [12], [1, 2, 3], [7], [], [0], [], []]
+    for bad in ('"cluster": "x"', '"cluster": [1, null]', '"cluster": {"a": 1}', '"cluster": 1.5', '"cluster": [[1]]', '"cluster": true', '"cluster": -1'):
+        with pytest.raises(Exception, match=":1: not a group id"):
+            R.read_decisions(spark, put(tmp_path, "g.jsonl", f"{{{by}, {bad}}}")).collect()
+    for by in ("", '"decided_by": "me", ', '"decided_by": null, '):
+        with pytest.raises(Exception, match=":1: decided_by"):
+            R.read_decisions(spark, put(tmp_path, "h.jsonl", f'{{{by}"action": "keep", "cluster": 1}}')).collect()
+
+
+def test_label_files_keep_probabilities_and_only_heads_are_heads(spark, tmp_path):
+    from lattica.sources import sinks
+
+    path = put(tmp_path, "l.tsv", "# made\ncell\tlabel\tnote\tProbability\nc1\tT\tx\t0.5\ncell\tB\ty\t0.25\nc2\tT\n")
+    assert tuples(R.read_labels(spark, path)) == [("c1", "T", 0.5), ("c2", "T", None), ("cell", "B", 0.25)]
+    bare = put(tmp_path, "m.tsv", "c1\tT\ncell\tB\n")
+    assert tuples(R.read_labels(spark, bare)) == [("c1", "T", None), ("cell", "B", None)]
+    labels = spark.createDataFrame([("c1", "T", 0.75)], "obs string, label string, probability double")
+    assert tuples(R.read_labels(spark, sinks.write_labels(labels, str(tmp_path / "out"))["argmax.parquet"])) == [("c1", "T", 0.75)]
+
+
+def test_synonyms_with_escaped_quotes(spark, tmp_path):
+    path = put(tmp_path, "q.obo", '[Term]\nid: X:1\nname: n\nsynonym: "b \\"q\\" c" EXACT []\nsynonym: "plain" EXACT []\nsynonym: "far" BROAD []\n')
+    assert R.read_taxonomy(spark, path).first().synonyms == ['b "q" c', "plain"]
+
+
+def test_hidden_keeps_repeated_rows_under_any_pattern(spark):
+    rows = spark.createDataFrame([("ab", 1), ("ab", 1), ("xy", 2), (None, 3)], "feature string, n int")
+    for patterns in (["ab"], ["a*"], ["ab", "a*", "ab"]):
+        assert tuples(N.hidden(rows, spark.createDataFrame([(p,) for p in patterns], "pattern string"))) == [("ab", 1), ("ab", 1)]
+    assert tuples(N.hidden(rows, spark.createDataFrame([], "pattern string"))) == []
+
+
 def test_aliases_last_row_of_last_file_wins(spark, tmp_path):
     skipped = []
     paths = [put(tmp_path, "1.tsv", "T cell\tX:1\nT cell\tX:2\nbad\tnone\nshort\n"), put(tmp_path, "2.tsv", "B\tX:9\n")]
