@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.operators import labels as L
+from lattica.plans import curation as U
 from lattica.plans.curation import _SHARES
 from lattica.sources import readers as R
 from lattica.sources import sinks as S
 from lattica.sources import tables as T
 from lattica.sources.shared import scratch
 from lattica.sources.tables import with_inputs
+from lattica.streaming import chain, fold
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -111,9 +113,9 @@ def alias_layers(spark, d):
 @query("decision_file", "SELECT 'label' AS action, 'K' || n_nationkey AS grp, n_name AS label, 'r1' AS round FROM nation")
 def decision_file(spark, d):
     path = scratch(spark, "decisions")
-    rows = T.table(spark, d, "nation").select(F.to_json(F.struct(F.lit("label").alias("action"), F.array(F.concat(F.lit("K"), "n_nationkey")).alias("groups"), F.col("n_name").alias("label"), F.lit("r1").alias("round"))).alias("value"))
+    rows = T.table(spark, d, "nation").select(F.to_json(F.struct(F.lit("label").alias("action"), F.array(F.concat(F.lit("K"), "n_nationkey")).alias("groups"), F.col("n_name").alias("label"), F.lit("r1").alias("round"), F.lit("user").alias("decided_by"))).alias("value"))
     rows.unionByName(_text(spark, "Here are the decisions:", "```json", "```")).write.text(path)
-    return R.read_decisions(spark, path).select("action", F.col("groups")[0].alias("grp"), "label", "round")
+    return R.read_decisions(spark, path).select("action", F.concat(F.lit("K"), F.col("groups")[0].cast("string")).alias("grp"), "label", "round")
 
 
 @query("evidence_file", with_inputs(_SHARES + " SELECT grp, label AS class, round(share, 6) AS share, true AS unscored FROM shares", "cells", "calls"))
@@ -142,3 +144,32 @@ def group_descriptions(spark, d):
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(F.round("share", 9)), "label"))
     ranking = shares.select("grp", rank.alias("rank"), F.col("label").alias("class"), F.col("share").alias("effect"))
     return S.describe(L.group_digest(T.cells(spark, d), T.calls(spark, d)), ranking).select("grp", "markdown")
+
+
+@query("round_chain", with_inputs(f"""+{U._DECISIONS}, {U._INTO.replace("31 +", "(SELECT max(grp) FROM cells) + 1 +")}, next AS (SELECT obs, coalesce(i.into_id, c.grp) AS grp, coalesce(n.label, i.label) AS label
+    FROM cells c LEFT JOIN (SELECT unnest(groups) AS grp, into_id, label FROM m) i ON i.grp = c.grp LEFT JOIN (SELECT groups[1] AS grp, label FROM dec WHERE action = 'label') n ON n.grp = c.grp)
+    SELECT obs, grp::INTEGER AS grp, CASE WHEN grp = (SELECT max(into_id) FROM m) THEN 'renamed' ELSE label END AS label, 2 AS round FROM next""", "cells"))
+def round_chain(spark, d):
+    """Decisions as files, applied to a chain: a round by them, then one that renames the last merged group."""
+    path, files = scratch(spark, "chain"), scratch(spark, "decisions")
+    chain.start(spark, path, U._labelled(spark, d), T.panel(spark, d).select(F.col("feature").cast("string").alias("feature"), "class"))
+    told = F.struct("action", F.col("groups").alias("cluster"), "label", "rationale", F.lit("user").alias("decided_by"), F.lit("r0").alias("round"))
+    U._decisions(spark, d).coalesce(1).sortWithinPartitions("line").select(F.to_json(told).alias("value")).write.text(files)
+    chain.relabel(spark, path, R.read_decisions(spark, files).orderBy("line_no"), base=0)
+    last = chain.load(spark, path, chain.latest(spark, path))["cells"].agg(F.max("grp").alias("grp"))
+    renamed = last.select(F.lit("chain").alias("file"), F.lit(1).cast("long").alias("line_no"), F.to_json(F.struct(F.lit("label").alias("action"), F.col("grp").alias("cluster"), F.lit("renamed").alias("label"), F.lit("named").alias("rationale"), F.lit("agent").alias("decided_by"), F.lit("r1").alias("round"))).alias("line"))
+    now = chain.relabel(spark, path, R.parse_decisions(renamed), must_name=True)
+    return chain.load(spark, path, now)["cells"].withColumn("round", F.lit(now.number))
+
+
+_ENTRIES = "SELECT user_id::INTEGER AS grp, dayofyear(ts)::INTEGER AS round, event_id AS line, CASE WHEN value > 20 THEN event_type END AS label FROM events"
+
+
+@query("group_fold", f"""WITH e AS ({_ENTRIES}) SELECT grp, round, line, last_value(label IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label,
+    last_value(label IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS entries
+    FROM e WINDOW w AS (PARTITION BY grp ORDER BY round, line)""")
+def group_fold(spark, d):
+    """Users as groups, days as rounds, events as entries: each with the label it leaves."""
+    e = T.table(spark, d, "events")
+    label = F.when(F.col("value") > 20, F.col("event_type"))
+    return fold.folded(e.select(F.col("user_id").cast("int").alias("grp"), F.dayofyear("ts").alias("round"), F.col("event_id").cast("long").alias("line"), label.alias("label")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.operators import text as X
 from lattica.plans.expression import r6
 from lattica.sources import tables as T
-from lattica.streaming import decisions as S
+from lattica.streaming import windows as S
 
 QUERIES, ORACLE_SQL = {}, {}
 

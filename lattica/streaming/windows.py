@@ -1,20 +1,9 @@
-"""Streams: decision files applied round by round, and event-time windows."""
+"""Event-time windows, of batches and of streams; decision files are watched in ``chain``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from lattica.operators import rounds as R
-
-DECISION = "line long, action string, groups array<int>, label string, rationale string, features array<string>"
-
-
-def parse_decisions(lines: DataFrame) -> DataFrame:
-    """Lines that begin with a brace as decisions; prose and fences are skipped, broken ones have a null action."""
-    kept = lines.where(F.ltrim("value").startswith("{"))
-    return kept.select("line", F.from_json("value", DECISION.replace("line long, ", "")).alias("d")).select("line", "d.*")
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str | None = "1 hour") -> DataFrame:
@@ -26,33 +15,3 @@ def tumbling(events: DataFrame, width: str = "1 day", late: str | None = "1 hour
 def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = "1 hour") -> DataFrame:
     source = events.withWatermark("ts", late) if late and events.isStreaming else events
     return source.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("finish"), "user_id", "n")
-
-
-def apply_rounds(spark: SparkSession, source: str, out: str, checkpoint: str, cells: DataFrame) -> StreamingQuery:
-    """Each micro-batch of decision files is one round, written below ``out`` by its batch id.
-
-    A batch that breaks a rule is recorded with its reasons and skipped; the checkpoint holds
-    how far the source is read, and writing a batch again gives the same files.
-    """
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        decisions = parse_decisions(batch.select(F.monotonically_increasing_id().alias("line"), "value")).persist()
-        try:
-            before = cells if batch_id == 0 else latest(spark, out, batch_id, cells)
-            bad = R.refusals(decisions, before.select("grp").distinct())
-            bad.write.mode("overwrite").json(f"{out}/refused/round={batch_id}")
-            if bad.isEmpty():
-                history = spark.createDataFrame([], "grp int")
-                R.apply_decisions(decisions, before, history).write.mode("overwrite").parquet(f"{out}/cells/round={batch_id}")
-            else:
-                before.write.mode("overwrite").parquet(f"{out}/cells/round={batch_id}")
-        finally:
-            decisions.unpersist()
-
-    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(source)
-    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, out: str, before: int, cells: DataFrame) -> DataFrame:
-    """The cells of the last round before a batch."""
-    return spark.read.schema(cells.schema).parquet(f"{out}/cells/round={before - 1}")

@@ -1,6 +1,5 @@
 """Operators on small literals, with nulls, ties and planted truths."""
 
-import json
 
 import numpy as np
 import pytest
@@ -11,7 +10,7 @@ from lattica.operators import labels as L
 from lattica.operators import profile as P
 from lattica.operators import rounds as R
 from lattica.operators import text as X
-from lattica.streaming import decisions as S
+from lattica.streaming import windows as S
 
 
 def test_label_key_is_idempotent(spark):
@@ -75,26 +74,6 @@ def test_last_edit_wins(spark):
     assert got == [("markers_add", "C"), ("label", "B"), ("keep", None)]
 
 
-def test_stream_of_decisions_makes_rounds(spark, tmp_path):
-    source = tmp_path / "decisions"
-    source.mkdir()
-    first = [{"action": "merge", "groups": [1, 2], "label": "M", "rationale": "r"}]
-    broken = [{"action": "label", "groups": [77], "label": "X", "rationale": "r"}]
-    last = [{"action": "label", "groups": [3], "label": "C", "rationale": "r"}]
-    for i, batch in enumerate([first, broken, last]):
-        path = source / f"{i}.txt"
-        path.write_text("some prose\n" + "\n".join(map(json.dumps, batch)) + "\n")
-        import os
-
-        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
-    cells = spark.createDataFrame([(o, o % 3 + 1, None) for o in range(6)], "obs long, grp int, label string")
-    out = str(tmp_path / "out")
-    S.apply_rounds(spark, str(source), out, str(tmp_path / "ck"), cells).awaitTermination()
-    got = {(r.obs, r.grp, r.label) for r in spark.read.parquet(f"{out}/cells/round=2").select("obs", "grp", "label").collect()}
-    assert got == {(0, 4, "M"), (1, 4, "M"), (2, 3, "C"), (3, 4, "M"), (4, 4, "M"), (5, 3, "C")}
-    assert spark.read.json(f"{out}/refused/round=1").count() == 1
-
-
 def test_streamed_windows_equal_the_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "user_id", "event_type", "value")
     path = str(tmp_path / "events")
