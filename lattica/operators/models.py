@@ -1,11 +1,7 @@
-"""Statistical models: tree-wise FDR, matched null tests, sparse regression, regions, diffusion.
-
-Choices where formulas aren't public: class enrichment ranks features by simplex specificity
-(a group's share of a feature), takes the weighted running sum as its score (weights are the
-panel's) and draws its null of 10,000 random sets from features of the same abundance stratum
-(ten bins), each with the weight of the feature it stands for; p is counted where ten draws or
-more reach the score and a normal tail beyond.  Other tests' draws are ordered by md5, these
-seeded by it, so results don't depend on partitions.
+"""Statistical models: tree-wise FDR, matched null tests, regions, diffusion.
+
+Random draws are ordered by md5, so results don't depend on partitions.  Class enrichment is in
+``enrichment``, sparse regression in ``sparse_effects``, set vectors are in ``set_vectors``.
 """
 
 from __future__ import annotations
@@ -142,130 +138,6 @@ def matched_test(level: DataFrame, members: DataFrame, strata_of: DataFrame, dra
     return scored.select("grp", "set", F.col("e").alias("effect"), "z", normal_upper_tail("z").alias("p"))
 
 
-def running_score(place: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Extreme of the weighted running sum of each row's sets: ``place`` in a ranking of n features, 0 the best."""
-    order = np.argsort(place, axis=1, kind="stable")
-    place, weight = np.take_along_axis(place, order, 1), np.take_along_axis(np.broadcast_to(weight, place.shape), order, 1)
-    total = weight.sum(axis=1, keepdims=True)
-    weight = np.where(total > 0, weight, 1.0)
-    after = weight.cumsum(axis=1)
-    after, step = after / after[:, -1:], weight / after[:, -1:]
-    missed = (place - np.arange(place.shape[1])) / max(n - place.shape[1], 1)
-    high, low = (after - missed).max(axis=1), (after - step - missed).min(axis=1)
-    return np.where(high >= -low - 1e-12, high, low)
-
-
-def random_sets(rng: np.random.Generator, pools: list[np.ndarray], sizes: list[int], draws: int) -> np.ndarray:
-    """(draws, features): so many distinct features of each pool, in the pools' order."""
-    out = []
-    for pool, size in zip(pools, sizes):
-        if size * size < len(pool):  # few repeats: whole sets are drawn again
-            got = rng.integers(0, len(pool), (draws, size))
-            while len(again := np.flatnonzero((np.diff(np.sort(got, axis=1), axis=1) == 0).any(axis=1))):
-                got[again] = rng.integers(0, len(pool), (len(again), size))
-        elif size == len(pool):
-            got = np.broadcast_to(np.arange(size), (draws, size))
-        else:
-            got = np.argpartition(rng.random((draws, len(pool)), dtype=np.float32), size - 1, axis=1)[:, :size]
-        out.append(pool[got])
-    return np.concatenate(out, axis=1)
-
-
-def enrichment_test(level: DataFrame, members: DataFrame, strata_of: DataFrame, draws: int = 10_000, seed: int = 7, block: int = 250) -> DataFrame:
-    """(grp, set, effect, z, p): running-sum score of weighted sets in each group's ranking by ``x``, against matched random sets.
-
-    ``members`` are (set, feature, weight); a set's blocks of draws are tasks of their own.
-    The groups' rankings, bounded by groups and features, are broadcast.
-    """
-    spark = level.sparkSession
-    placed = strata_of.orderBy("feature").toPandas()
-    features, stratum = placed["feature"].to_numpy(), placed["stratum"].to_numpy()
-    values = level.toPandas()
-    values = values[values["feature"].isin(features)]
-    groups = np.unique(values["grp"].to_numpy())
-    x = np.zeros((len(groups), len(features)))
-    x[np.searchsorted(groups, values["grp"]), np.searchsorted(features, values["feature"])] = values["x"]
-    ranking = np.argsort(np.argsort(-x, axis=1, kind="stable"), axis=1).astype(np.int32)
-    pools = {int(b): np.flatnonzero(stratum == b) for b in np.unique(stratum)}
-    known = spark.sparkContext.broadcast((features, stratum, groups, ranking, pools))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        features, stratum, groups, ranking, pools = known.value
-        pdf = pdf.sort_values("feature")
-        at = np.searchsorted(features, pdf["feature"])
-        order = np.argsort(stratum[at], kind="stable")
-        at, weight = at[order], pdf["weight"].to_numpy(float)[order]
-        kinds, sizes = np.unique(stratum[at], return_counts=True)
-        name, part = pdf["set"].iloc[0], int(pdf["part"].iloc[0])
-        rng = np.random.default_rng(int(hashlib.md5(f"{seed}|{name}|{part}".encode()).hexdigest(), 16))
-        drawn = random_sets(rng, [pools[int(b)] for b in kinds], sizes.tolist(), min(block, draws - part * block))
-        rows = []
-        for g, rank in zip(groups, ranking):
-            own = float(running_score(rank[at][None], weight, len(features))[0])
-            null = running_score(rank[drawn], weight, len(features))
-            rows.append((int(g), name, own, int((null >= own - 1e-12).sum()), float(null.sum()), float((null * null).sum())))
-        return pd.DataFrame(rows, columns=["grp", "set", "effect", "reach", "s", "ss"])
-
-    kept = members.join(strata_of.select("feature"), "feature", "left_semi").select("set", "feature", "weight")
-    parts = spark.range(math.ceil(draws / block)).select(F.col("id").cast("int").alias("part"))
-    tasks = kept.crossJoin(F.broadcast(parts))  # a set's features by blocks of draws
-    scored = tasks.groupBy("set", "part").applyInPandas(score, "grp int, set string, effect double, reach long, s double, ss double")
-    summed = scored.groupBy("grp", "set").agg(F.first("effect").alias("effect"), F.sum("reach").alias("reach"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    mean = F.col("s") / draws
-    deviation = F.sqrt(F.greatest(F.col("ss") - F.col("s") * mean, F.lit(0.0)) / (draws - 1))
-    z = F.when(deviation >= 1e-6, (F.col("effect") - mean) / deviation)
-    counted = summed.withColumn("z", z)
-    p = F.when(F.col("reach") >= 10, (F.col("reach") + 1) / (draws + 1)).otherwise(normal_upper_tail("z"))
-    return counted.select("grp", "set", "effect", "z", F.when(F.col("z").isNotNull(), p).alias("p"))
-
-
-def sparse_regression(y: np.ndarray, x: np.ndarray, effects: int = 5, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """PIP and posterior mean of a sum of single effects (iterative Bayesian stepwise selection)."""
-    n, c = x.shape
-    x = x - x.mean(axis=0)
-    y = y - y.mean()
-    d = (x**2).sum(axis=0)
-    usable = d > 1e-9
-    alpha, mu = np.full((effects, c), 0.0), np.zeros((effects, c))
-    alpha[:, usable] = 1 / max(usable.sum(), 1)
-    sigma2, prior = max(y.var(), 1e-9), max(y.var(), 1e-9)
-    for _ in range(sweeps):
-        before = alpha.copy()
-        for k in range(effects):
-            r = y - x @ ((alpha * mu).sum(axis=0) - alpha[k] * mu[k])
-            post = 1 / (d / sigma2 + 1 / prior)
-            m = post * (x.T @ r) / sigma2
-            bf = np.where(usable, 0.5 * np.log(np.maximum(post / prior, 1e-300)) + 0.5 * m**2 / post, -np.inf)
-            w = np.append(bf, 0.0)  # the last is no effect
-            w = np.exp(w - w.max()) * np.append(np.where(usable, 0.5 / max(usable.sum(), 1), 0), 0.5)
-            alpha[k], mu[k] = (w / w.sum())[:-1], np.where(usable, m, 0)
-        sigma2 = max(((y - x @ (alpha * mu).sum(axis=0)) ** 2).mean(), 1e-6)
-        if np.abs(alpha - before).max() < 1e-6:
-            break
-    return 1 - np.prod(1 - alpha, axis=0), (alpha * mu).sum(axis=0)
-
-
-def regression_calls(folds: DataFrame, panel: DataFrame) -> DataFrame:
-    """(grp, class, pip, fold): each group's log folds on class indicators, one group a task; a panel bounds a task's rows."""
-    pairs = [(r["feature"], r["class"]) for r in panel.toLocalIterator()]
-    classes = sorted({c for _, c in pairs})
-    at = {c: i for i, c in enumerate(classes)}
-    of: dict = {}
-    for f, c in pairs:
-        of.setdefault(f, []).append(at[c])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["feature"].isin(of)].sort_values("feature")
-        x = np.zeros((len(pdf), len(classes)))
-        for i, f in enumerate(pdf["feature"]):
-            x[i, of[f]] = 1
-        pip, fold = sparse_regression(pdf["log2fc"].to_numpy(float), x) if len(pdf) else (np.zeros(len(classes)), np.zeros(len(classes)))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0] if len(pdf) else -1, "class": classes, "pip": pip, "fold": fold})
-
-    kept = folds.join(panel.select("feature").distinct(), "feature", "left_semi").select("grp", "feature", "log2fc")
-    return kept.groupBy("grp").applyInPandas(fit, "grp int, class string, pip double, fold double")
-
-
 def call_order(items: list[tuple[str, float, float]], tie: float = 0.01) -> list[str]:
     """Names by PIP; runs within ``tie`` of the run's first are ordered by what they explain."""
     left = sorted(items, key=lambda x: (math.isnan(x[1]), -x[1] if not math.isnan(x[1]) else 0, x[0]))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.operators import communities as K
+from lattica.operators import enrichment as R
 from lattica.operators import graph as G
 from lattica.operators import models as M
 from lattica.operators import profile as P
+from lattica.operators import set_vectors as V
+from lattica.operators import sparse_effects as S
 from lattica.plans import curation as C
 from lattica.plans import expression as E
 from lattica.plans import graphs as N
@@ -57,13 +61,35 @@ def class_enrichment(spark, d):
     level = profile.select("grp", "feature", share.alias("x"))
     panel = T.panel(spark, d)
     members = panel.join(P.panel_idf(panel), "feature").select(F.col("class").alias("set"), "feature", F.col("idf").alias("weight"))
-    return M.enrichment_test(level, members, M.strata(sums))
+    return R.enrichment_test(level, members, M.strata(sums), least=3)
 
 
 @query("susie_calls")
 def susie_calls(spark, d):
-    folds = P.log2_fold_change(E._profile(spark, d), *E._sizes(spark, d))
-    return M.regression_calls(folds, T.panel(spark, d))
+    """Sampled class effects of each group, with credible sets and the chains' agreement."""
+    return S.class_effects(E._sums(spark, d), T.panel(spark, d), T.cells(spark, d).select("grp").distinct())
+
+
+@query("vector_communities")
+def vector_communities(spark, d):
+    """Communities of the neighbour graph of all vectors; an edge found both ways weighs twice."""
+    v = T.vectors(spark, d)
+    edges = N._knn(spark, d).select(F.col("obs").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("weight"))
+    return K.communities(edges, v.select(F.col("obs").alias("node")), smallest=3)
+
+
+def _feature_sets(spark, d):
+    """Vectors as features; the groups' and the brands' members are the sets."""
+    v = T.vectors(spark, d)
+    groups = v.select(F.concat(F.lit("group "), F.col("grp").cast("string")).alias("set"), F.col("obs").alias("feature"))
+    brands = T.terms(spark, d).select(F.col("term").alias("set"), "feature")
+    return v.select(F.col("obs").alias("feature"), "vec"), groups.unionByName(brands)
+
+
+@query("set_vectors")
+def set_vectors(spark, d):
+    """Each set's nearness to its features against 99 decoys of its size."""
+    return V.against_decoys(V.set_vectors(*_feature_sets(spark, d)))
 
 
 @query("units_regions")

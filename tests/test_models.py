@@ -31,63 +31,18 @@ def test_selection_needs_selected_parents():
     assert M.simes_bh({"a1": math.nan}, {"root": ["a1"]}, "root") == {}
 
 
-def test_regression_finds_the_planted_class_and_not_its_sharer():
-    rng = np.random.default_rng(5)
-    x = np.zeros((400, 8))
-    for c in range(8):
-        x[rng.choice(400, 30, replace=False), c] = 1
-    x[:, 7] = 0
-    x[np.flatnonzero(x[:, 0])[:10], 7] = 1  # shares a third of the planted class's features
-    y = 2.0 * x[:, 0] + rng.normal(0, 0.5, 400)
-    pip, fold = M.sparse_regression(y, x)
-    assert pip[0] > 0.9 and pip[1:].max() < 0.2 and abs(fold[0] - 2) < 0.4
-
-
 def test_runs_of_ties_are_relative_to_their_first():
     items = [("a", 0.99, 1.0), ("b", 0.985, 3.0), ("c", 0.978, 9.0), ("d", math.nan, 99.0)]
     assert M.call_order(items) == ["b", "a", "c", "d"]
 
 
-def test_running_score_equals_the_walk():
-    rng = np.random.default_rng(6)
-    for _ in range(50):
-        place, weight = rng.choice(40, 7, replace=False), rng.random(7)
-        at = dict(zip(place, weight / weight.sum()))
-        walk = np.cumsum([0.0] + [at.get(i, -1 / 33) for i in range(40)])
-        assert abs(M.running_score(place[None], weight, 40)[0] - (walk.max() if walk.max() >= -walk.min() - 1e-12 else walk.min())) < 1e-12
-
-
-def test_random_sets_are_distinct_and_from_their_pools():
-    rng = np.random.default_rng(6)
-    got = M.random_sets(rng, [np.arange(100), np.arange(100, 110), np.arange(110, 113)], [4, 6, 3], 500)
-    assert got.shape == (500, 13) and all(len(set(r)) == 13 for r in got)
-    assert got[:, :4].max() < 100 <= got[:, 4:10].min() and got[:, 4:10].max() < 110 <= got[:, 10:].min()
-    assert np.abs(np.bincount(got[:, :4].ravel(), minlength=100) - 20).max() < 25
-
-
-def test_enrichment_ranks_and_weighs(spark):
-    from pyspark.sql import functions as F
-
-    rng = np.random.default_rng(8)
-    x = rng.random((2, 200))
-    x[0, :6] = 2.0  # only these six of "planted" are high in group 0
-    level = spark.createDataFrame([(g, f, float(x[g, f])) for g in range(2) for f in range(200)], "grp int, feature long, x double")
-    strata_of = spark.range(200).select(F.col("id").alias("feature"), (F.col("id") % 2).cast("int").alias("stratum"))
-    rows = [("planted", f, 1.0) for f in range(12)] + [("weighed", f, 5.0 if f < 6 else 0.1) for f in range(12)] + [("other", f, 1.0) for f in range(100, 112)]
-    members = spark.createDataFrame(rows, "set string, feature long, weight double")
-    got = {(r.grp, r.set): r for r in M.enrichment_test(level, members, strata_of, draws=2000).collect()}
-    assert len(got) == 6 and got[0, "weighed"].effect > 0.95 > got[0, "planted"].effect > 0.4
-    assert got[0, "planted"].p < 0.05 and got[0, "other"].p > 0.05 and got[1, "weighed"].p > 0.01
-    ranks = np.argsort(np.argsort(-x, axis=1, kind="stable"), axis=1)
-    assert got[0, "other"].effect == M.running_score(ranks[:1, 100:112], np.ones(12), 200)[0]
-
-
 def test_queries_take_all_draws():
     import inspect
 
+    from lattica.operators import enrichment
     from lattica.plans import models
 
-    assert inspect.signature(M.enrichment_test).parameters["draws"].default == 10_000
+    assert inspect.signature(enrichment.enrichment_test).parameters["draws"].default == 10_000
     assert inspect.signature(M.matched_test).parameters["draws"].default == 200
     assert "draws=" not in inspect.getsource(models)
 
