@@ -1,6 +1,7 @@
 """Communities: planted ones come back, whatever the partitions; parts are connected; moves only add quality."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ def as_sets(found):
     return set(map(frozenset, out.values()))
 
 
-def test_planted_communities_come_back_whatever_the_partitions(spark):
-    edges, of = planted(groups=6, size=16, inside=0.5)
+@pytest.mark.parametrize("most", [C.TASK_EDGES, 40])
+def test_planted_communities_come_back_whatever_the_partitions(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "TASK_EDGES", most)  # in one task, and by rounds over tables
+    edges, of = planted(groups=6, size=12, inside=0.6)
     want = {frozenset(np.flatnonzero(of == g).tolist()) for g in range(6)}
     frame = spark.createDataFrame(edges, "a long, b long, weight double")
     first = labels(C.communities(frame.repartition(1)))
@@ -37,6 +40,21 @@ def test_planted_communities_come_back_whatever_the_partitions(spark):
     assert labels(C.communities(turned)) == first
 
 
+def test_one_task_leaves_no_gain_and_merges_nothing_apart():
+    for seed in range(30):
+        edges, of = planted(groups=4, size=8, inside=0.5, across=0.15, seed=seed)
+        rate = int((0.1 + seed / 50) * C.WEIGHT_UNIT * C.RESOLUTION_UNIT)
+        nodes = pd.DataFrame({"node": np.arange(32), "size": 1, "comm": np.arange(32)})
+        both = pd.DataFrame([(i, j, C.WEIGHT_UNIT) for a, b, _ in edges for i, j in ((a, b), (b, a))], columns=["i", "j", "w"])
+        comm = dict(C.in_one_task(nodes, both, rate).itertuples(index=False))
+        found = quality(edges, comm, rate)
+        assert found >= quality(edges, {k: k for k in comm}, rate)
+        groups = set(comm.values())
+        for x in groups:  # joining whole communities gains nothing
+            for y in groups - {x}:
+                assert quality(edges, {k: y if c == x else c for k, c in comm.items()}, rate) <= found
+
+
 def test_two_cliques_on_a_bridge_and_nodes_without_edges(spark):
     clique = lambda nodes: [(a, b, 1.0) for a in nodes for b in nodes if a < b]
     edges = clique(range(6)) + clique(range(10, 16)) + [(5, 10, 0.5), (5, 5, 9.0), (1, 2, None), (0, 99, 3.0), (3, 4, -1.0)]
