@@ -113,9 +113,7 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    return aligned.withColumn("groups_sha256", digest).drop("groups")
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_groups=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
