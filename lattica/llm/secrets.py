@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-A vocabulary learned from ordinary text spells ordinary strings in few tokens.  A long run of
-key-like characters with few characters for each token is random; known digests (hexadecimal
-runs of a digest's length) and identifiers (UUIDs, version-like dotted numbers and plain
-numbers) are left out first; words pass the test by themselves.  A run joined by ``/`` or ``=``
-is tested whole, and where it isn't random each of its long enough parts is.
+A vocabulary learned from ordinary text spells ordinary strings in few tokens.  A run of key-like
+characters with few characters for each token is random.  Runs of 16 characters or more are tested
+where letters and digits mix, others from 20 characters on.  Known digests and identifiers are left
+out first: UUIDs, plain numbers, and hexadecimal runs of a digest's length, but for those that the
+text assigns to a name (``token = "..."``) which isn't a digest's own (``sha256: ...``).  Words pass
+the test by themselves.  A run joined by ``/`` or ``=`` is tested whole, and where it isn't random
+each of its long enough parts is.
 
 Spans are ``kind:start:end`` in code points, end exclusive, ordered by start and then by kind
 as listed, joined by commas.  The kinds are assign, access, hex and dense (the method's).
@@ -38,11 +40,19 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 
 #: Runs the efficiency test looks at, and the ratio under which they count as random.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PART = re.compile(r"[A-Za-z0-9+_-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
+LEAST_UNMIXED = 20
 LEAST_CHARACTERS_A_TOKEN = 2.0
+#: The ratio for assigned hexadecimal runs of a digest's length, which no word is.
+HEXADECIMAL_RATIO = 2.5
+#: Characters before a run in which an assignment to it begins.
+CONTEXT = 64
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
+_ASSIGNED = re.compile(r"""([A-Za-z_][\w.-]*)["']?\x20*[:=]\x20*["']?\Z""", re.ASCII)
+# Names whose values are digests or identifiers.
+_DIGEST_NAME = re.compile(r"md5|sha|blake|crc|digest|checksum|hash|commit|revision|etag|integrity|fingerprint|uuid|guid|(?:^|[_.-])(?:id|rev)$", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 
 
@@ -57,15 +67,27 @@ def _read_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """Digests, identifiers, and runs without letters."""
-    if _UUID.match(run) or (len(run) in DIGEST_LENGTHS and _HEXADECIMAL.match(run)):
-        return True
-    return not any(map(str.isalpha, run))
+def is_assigned(text: str, start: int) -> bool:
+    """Is what begins at ``start`` the value of a name that isn't a digest's or an identifier's?"""
+    m = _ASSIGNED.search(text[max(0, start - CONTEXT) : start])
+    return bool(m) and not _DIGEST_NAME.search(m[1])
 
 
-def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
-    return not is_known(run) and len(run) < ratio * len(enc.encode_ordinary(run))
+def is_digest(run: str) -> bool:
+    return len(run) in DIGEST_LENGTHS and bool(_HEXADECIMAL.match(run))
+
+
+def is_known(run: str, assigned: bool = False) -> bool:
+    """Identifiers, runs without letters, and digests that aren't an assigned value."""
+    return bool(_UUID.match(run)) or not any(map(str.isalpha, run)) or (not assigned and is_digest(run))
+
+
+def is_random(text: str, start: int, end: int, enc: tiktoken.Encoding, ratio: float) -> bool:
+    run = text[start:end]
+    if len(run) < LEAST_UNMIXED and not (any(map(str.isalpha, run)) and any(map(str.isdigit, run))):
+        return False
+    most = HEXADECIMAL_RATIO if is_digest(run) else ratio
+    return len(run) < most * len(enc.encode_ordinary(run)) and not is_known(run, is_assigned(text, start))
 
 
 def spans_of(text: str | None, enc: tiktoken.Encoding, ratio: float = LEAST_CHARACTERS_A_TOKEN) -> str:
@@ -77,10 +99,11 @@ def spans_of(text: str | None, enc: tiktoken.Encoding, ratio: float = LEAST_CHAR
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        if is_random(m[0], enc, ratio):
+        if is_random(text, m.start(), m.end(), enc, ratio):
             found.append((m.start(), 3, m.end()))
         else:  # a key may hang on its path or name
-            found += [(m.start() + x.start(), 3, m.start() + x.end()) for x in PART.finditer(m[0]) if x[0] != m[0] and is_random(x[0], enc, ratio)]
+            parts = ((m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0]) if x[0] != m[0])
+            found += [(start, 3, end) for start, end in parts if is_random(text, start, end, enc, ratio)]
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(found))
 
 

@@ -144,6 +144,26 @@ def test_secrets_of_one_case_and_behind_paths():
         assert "dense" not in secrets.spans_of(word, enc), word
 
 
+def test_planted_secrets_are_found_and_clean_runs_left_alone():
+    """Recall by kind of string, and precision on what only looks like one."""
+    enc = secrets.encoding(secrets.vocabulary(secrets.DEFAULT_VOCABULARY))
+    rng = random.Random(7)
+    mixed, hexadecimal = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    found = lambda text: [tuple(map(int, s.split(":")[1:])) for s in secrets.spans_of(text, enc).split(",") if s.startswith("dense")]
+
+    def recall(letters, n, before, after=" y"):
+        return sum((len(before), len(before) + n) in found(before + made(letters, n) + after) for _ in range(200)) / 200
+
+    assert recall(mixed, 40, "x ") == recall(mixed, 20, "x ") == 1 and recall(mixed, 16, "x ") > 0.85  # some of 16 hold no digit
+    for before in ('token = "', "api_key: ", "Secret: '", '"client.key":"', "k = "):
+        assert recall(hexadecimal, 40, before, '"') > 0.98 and recall(hexadecimal, 32, before) > 0.98 and recall(hexadecimal, 64, before) > 0.98
+    for before in ("", "x ", "see ", "(", "sha256: ", 'etag="', "commit = ", "git.revision: ", "MD5=", "request_id: ", "x: y ", "a = b; "):
+        assert recall(hexadecimal, 40, before) == recall(hexadecimal, 64, before) == 0
+    clean = ["0123456789012345", "4111111111111111", "2024-01-31T10:20:30", "section-12-paragraph-4", "version2_release_candidate", "ordinary/path/to/a/file2", "covid19-vaccination-rates", "INVOICE-2023-000123", "iso8859_encoding_table", "http2/server/push/docs", "mp3player-downloads-2004", "an_identifier_of_words_3"]
+    assert not any(found(f"x {w} y") for w in clean)
+
+
 @pytest.mark.parametrize("run", [token_counts.count_report, secrets.with_spans, sentencepiece_codec.round_trip, packing.pack])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
