@@ -121,3 +121,66 @@ def test_clashing_columns_stay(spark, names):
     lex = spark.createDataFrame([(1,)], "term long")
     assert told(imatch.with_fingerprints(df, lex, {"text": "print"})) == expected
     assert told(imatch._joined_fingerprints(df, lex, {"text": "print"})) == expected
+
+
+def brute_units(text):
+    """Sentences and clauses, long ones cut at words that their hash picks; character by character."""
+    import re
+
+    out, since, at = [], 0, 0
+    while at < len(text):
+        m = re.compile(r"[.!?,;:][^\w\s]*\s+|\n+\s*").match(text, at)
+        at = m.end() if m else at + 1
+        if m or at == len(text):
+            out.append(text[since:at])
+            since = at
+    units = []
+    for piece in out:
+        if piece.count(" ") <= 24:
+            units.append(piece)
+            continue
+        unit = ""
+        for word in re.findall(r"^\s+(?=\S)|\S+\s*", piece) if piece.strip() else [piece]:
+            unit += word
+            if word.strip() and zlib.crc32(word.strip().encode()) % 8 == 0:
+                units.append(unit)
+                unit = ""
+        units += [unit] if unit else []
+    return units
+
+
+def brute_runs(units):
+    """(first, last, words) of the runs of two units or more with twelve words or more that no shorter one from an edge replaces."""
+    words = [u.split() for u in units]
+    n, found = len(units), set()
+    for i in range(n):
+        for j in range(i + min(2, n) - 1, n):
+            if sum(map(len, words[i : j + 1])) >= 12:
+                found.add((i, j))
+                break
+    for j in range(n):
+        for i in range(j - min(2, n) + 1, -1, -1):
+            if sum(map(len, words[i : j + 1])) >= 12:
+                found.add((i, j))
+                break
+    return [(i, j, tuple(map(tuple, words[i : j + 1]))) for i, j in sorted(found)]
+
+
+def test_substring_query_equals_an_independent_brute_force(spark):
+    texts = texts_of(spark)
+    units = {d: brute_units(t) for d, t in texts.items()}
+    runs = {d: brute_runs(u) for d, u in units.items()}
+    first = {}
+    for d in sorted(runs):
+        for *_, words in runs[d]:
+            first.setdefault(words, d)
+    want = {}
+    for d, found in runs.items():
+        seen, covered = set(), set()
+        for i, j, words in found:
+            if first[words] < d or words in seen:
+                covered |= set(range(i, j + 1))
+            seen.add(words)
+        want[d] = "".join(u for k, u in enumerate(units[d]) if k not in covered)
+    got = {r.doc_id: r.text or "" for r in QUERIES["op5_substring_dedup"](spark, FOLDER).collect()}
+    assert sum(want[d] != t for d, t in texts.items()) > 10 and got == want
