@@ -10,12 +10,14 @@ from lattica.operators import enrichment as R
 from lattica.operators import graph as G
 from lattica.operators import models as M
 from lattica.operators import profile as P
+from lattica.operators import rescoring as O
 from lattica.operators import set_vectors as V
 from lattica.operators import sparse_effects as S
 from lattica.plans import curation as C
 from lattica.plans import expression as E
 from lattica.plans import graphs as N
 from lattica.sources import tables as T
+from lattica.sources.tables import with_inputs
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -108,3 +110,18 @@ def diffusion_pseudotime(spark, d):
     first = v.agg(F.min("grp").alias("grp"))
     roots = G.medoids(v.join(first, "grp", "left_semi"))
     return M.pseudotime(G.gauss_kernel(N._knn(spark, d)), roots)
+
+
+@query("rescored_round", with_inputs("""+ lv AS (SELECT grp, feature, ln(1 + 10000 * value / sum(value) OVER (PARTITION BY grp)) AS x FROM sums),
+    kept AS (SELECT feature, class FROM panel WHERE NOT (class = 'S1' AND feature % 3 = 0)),
+    w AS (SELECT feature, class, ln((SELECT count(DISTINCT class) FROM kept) * 1.0 / count(*) OVER (PARTITION BY feature)) AS weight FROM kept),
+    total AS (SELECT class, sum(weight) AS total FROM w GROUP BY 1), s AS (SELECT grp, class, sum(x * weight) AS s FROM lv JOIN w USING (feature) GROUP BY 1, 2)
+    SELECT g.grp, t.class, round(coalesce(s.s, 0) / t.total, 6) AS score FROM (SELECT DISTINCT grp FROM lv) g CROSS JOIN total t LEFT JOIN s ON s.grp = g.grp AND s.class = t.class""", "sums", "panel"))
+def rescored_round(spark, d):
+    """A class loses features: it and those that share them are scored again, the others' scores are taken over."""
+    _, level = _levels(spark, d)
+    panel = T.panel(spark, d)
+    weighted = lambda p: p.join(P.panel_idf(p), "feature").select(F.col("class").alias("set"), "feature", F.col("idf").alias("weight"))
+    before, after = weighted(panel), weighted(panel.where("not (class = 'S1' and feature % 3 = 0)"))
+    scores = O.rescored(O.weighted_means, O.weighted_means(level, before), (level, level), (before, after))
+    return scores.select("grp", F.col("set").alias("class"), F.round("score", 6).alias("score"))
