@@ -76,7 +76,7 @@ def precedences(starts: DataFrame, develops: DataFrame, parents: DataFrame) -> D
 
 
 def first_parents(edges: DataFrame) -> DataFrame:
-    """(id, chain): a term's line of first-listed parents, from itself to the top; edges are (child, parent, place) without cycles."""
+    """(id, chain): a term's line of first-listed parents, from itself to the top; edges are (child, parent, place), and a cycle of them is an error."""
     first = held(edges.groupBy("child").agg(F.min_by("parent", "place").alias("parent")))
     ids = first.select(F.col("child").alias("id")).unionByName(first.select(F.col("parent").alias("id"))).distinct()
     lines = held(ids.select("id", F.array("id").alias("chain")))
@@ -85,9 +85,12 @@ def first_parents(edges: DataFrame) -> DataFrame:
         tails = lines.select(F.col("id").alias("_end"), F.col("chain").alias("_tail"))
         up = first.select(F.col("child").alias("_last"), F.col("parent").alias("_end"))
         longer = lines.withColumn("_last", F.element_at("chain", -1)).join(up, "_last").join(tails, "_end")
-        grown = longer.select("id", F.concat("chain", "_tail").alias("chain"))
+        grown = held(longer.select("id", F.concat("chain", "_tail").alias("chain")))
         if grown.isEmpty():
             return lines
+        ring = grown.where(F.size(F.array_distinct("chain")) < F.size("chain")).select(F.min("id")).first()[0]
+        if ring is not None:
+            raise ValueError(f"the parents of {ring} lead into a cycle")
         lines = held(grown.unionByName(lines.join(grown.select("id"), "id", "left_anti")))
 
 
@@ -276,8 +279,10 @@ def walk(edges: DataFrame, roots: DataFrame, mass: DataFrame, least: float = 0.5
     """(grp, id, mass, abstained): each group's deepest supported node on the way down from the roots.
 
     A step goes to the child with the most mass while that is ``least`` or more; where the best two
-    children tie the group stays and is marked as abstained.  All groups step together.
+    children tie the group stays and is marked as abstained.  All groups step together; a group that
+    has taken as many steps as there are edges is on a cycle, which is an error.
     """
+    left = edges.count()
     at = held(mass.join(roots.select("id"), "id").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("mass"), "id"))).where("_r = 1").select("grp", "id", "mass", F.lit(False).alias("abstained")))
     done = None
     while True:
@@ -292,3 +297,6 @@ def walk(edges: DataFrame, roots: DataFrame, mass: DataFrame, least: float = 0.5
         at = held(step.where("not tied").select("grp", F.col("child").alias("id"), F.col("m").alias("mass"), F.lit(False).alias("abstained")))
         if at.isEmpty():
             return done
+        left -= 1
+        if left < 0:
+            raise ValueError("the edges hold a cycle")

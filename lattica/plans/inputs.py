@@ -118,11 +118,12 @@ def decision_file(spark, d):
     return R.read_decisions(spark, path).select("action", F.concat(F.lit("K"), F.col("groups")[0].cast("string")).alias("grp"), "label", "round")
 
 
-@query("evidence_file", with_inputs(_SHARES + " SELECT grp, label AS class, round(share, 6) AS share, true AS unscored FROM shares", "cells", "calls"))
+@query("evidence_file", with_inputs(_SHARES + " SELECT grp, label AS class, round(share::FLOAT::DOUBLE, 6) AS share, true AS unscored FROM shares", "cells", "calls"))
 def evidence_file(spark, d):
     path = scratch(spark, "evidence")
     S.write_evidence(L.call_shares(T.cells(spark, d), T.calls(spark, d)).withColumnRenamed("label", "class"), path)
-    return spark.read.parquet(path).select("grp", "class", F.round("share", 6).alias("share"), F.isnan("z").alias("unscored"))
+    cluster = L.group_id("cluster").alias("grp")
+    return spark.read.parquet(path).select(cluster, F.col("celltype").alias("class"), F.round(F.col("share").cast("double"), 6).alias("share"), F.isnan("nes").alias("unscored"))
 
 
 @query("group_tables", "SELECT c_nationkey AS grp, c_mktsegment AS class, count(*)::DOUBLE AS value FROM customer GROUP BY 1, 2")

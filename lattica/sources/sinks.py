@@ -43,14 +43,16 @@ def write_labels(labels: DataFrame, prefix: str) -> dict[str, str]:
     return paths
 
 
-STATISTICS = ["effect", "z", "p", "q", "pip", "theta", "share", "weight", "score"]
+# The statistics of the evidence table, in its order.
+STATISTICS = ["share", "nes", "p", "q", "pip", "fold", "explained", "score", "units"]
 
 
 def write_evidence(evidence: DataFrame, path: str) -> None:
-    """The long evidence table (grp, class and every statistic); statistics that weren't scored are NaN."""
+    """The long evidence table of (grp, class and statistics): cluster (K and the group), celltype, then every statistic; those that weren't scored are NaN."""
     have = set(evidence.columns)
-    cells = [(F.coalesce(F.col(s).cast("double"), F.lit(float("nan"))) if s in have else F.lit(float("nan"))).alias(s) for s in STATISTICS]
-    evidence.select("grp", "class", *cells).write.mode("overwrite").parquet(path)
+    cells = [(F.coalesce(F.col(s).cast("float"), F.lit(float("nan"))) if s in have else F.lit(float("nan"))).cast("float").alias(s) for s in STATISTICS]
+    cluster = F.concat(F.lit("K"), F.col("grp").cast("string")).alias("cluster")
+    evidence.select(cluster, F.col("class").alias("celltype"), *cells).write.mode("overwrite").parquet(path)
 
 
 def signature(tests: DataFrame, top: int = 10) -> DataFrame:
@@ -86,8 +88,9 @@ def describe(digest: DataFrame, ranking: DataFrame) -> DataFrame:
     return both.select("grp", F.to_json(F.struct("grp", "size", "label", "top")).alias("json"), line.alias("markdown"))
 
 
-def save_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def save_manifest(spark: SparkSession, manifest: dict, path: str, replace: bool = False) -> None:
+    """A run's manifest as one JSON object; one that is there already is an error unless it is to be replaced."""
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite" if replace else "errorifexists").text(path)
 
 
 def load_manifest(spark: SparkSession, path: str) -> dict:

@@ -177,6 +177,10 @@ def test_signatures_descriptions_and_manifests(spark, tmp_path):
     assert sorted(r[0].split("\t")[2] for r in spark.read.text(str(tmp_path / "sig")).collect()) == ["a", "b"]
     S.save_manifest(spark, {"rounds": [1], "name": "x"}, str(tmp_path / "m"))
     assert S.load_manifest(spark, str(tmp_path / "m")) == {"rounds": [1], "name": "x"}
+    with pytest.raises(Exception, match="(?i)already exists"):
+        S.save_manifest(spark, {}, str(tmp_path / "m"))
+    S.save_manifest(spark, {"name": "y"}, str(tmp_path / "m"), replace=True)
+    assert S.load_manifest(spark, str(tmp_path / "m")) == {"name": "y"}
     edges = spark.createDataFrame([("near", "a", "b", 0.5), ("is_a", "a", "c", 1.0)], "kind string, a string, b string, weight double")
     assert len(S.write_edges(edges, str(tmp_path / "e"))) == 2
     S.write_vocabulary(spark.createDataFrame([("w", 3)], "word string, df long"), str(tmp_path / "v"))
@@ -199,3 +203,21 @@ def test_null_groups_repeated_labels_braces_and_deep_chains(spark):
     line = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(0, 9)], "a int, b int")
     assert sorted(r.path for r in G.lineages(line).collect()) == [[0, 1, 2, 3, 4, 5], [0, 9]]
     assert tuples(C.first_parents(chain.withColumn("place", F.lit(0))).select("id", F.size("chain")))[0] == ("0", 81)
+
+
+def test_cycles_are_refused(spark):
+    ring = spark.createDataFrame([("a", "b", 0), ("b", "c", 0), ("c", "a", 0), ("x", "a", 0)], "child string, parent string, place int")
+    with pytest.raises(ValueError, match="cycle"):
+        C.first_parents(ring)
+    mass = spark.createDataFrame([(1, i, 0.9) for i in "abc"], "grp int, id string, mass double")
+    with pytest.raises(ValueError, match="cycle"):
+        C.walk(ring.select("child", "parent"), spark.createDataFrame([("a",)], "id string"), mass)
+
+
+def test_evidence_has_the_formats_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(3, "T", 0.5, None), (4, "B", 0.25, 1.5)], "grp int, class string, share double, pip double")
+    S.write_evidence(rows, str(tmp_path / "e"))
+    got = spark.read.parquet(str(tmp_path / "e"))
+    assert got.columns == ["cluster", "celltype", "share", "nes", "p", "q", "pip", "fold", "explained", "score", "units"]
+    told = {r.cluster: r for r in got.collect()}
+    assert set(told) == {"K3", "K4"} and told["K3"].share == 0.5 and told["K3"].pip != told["K3"].pip and told["K4"].pip == 1.5 and told["K4"].nes != told["K4"].nes
