@@ -61,7 +61,7 @@ def test_rules_of_decisions(spark):
         (1, "label", [1], "A", "why", None), (2, "merge", [2], None, "why", None), (3, "label", [9], "A", "why", None), (4, "split", [2], "A", "why", None),
         (5, "keep", [1], None, "why", None), (6, "label", [3], "B", " ", None), (7, "markers_add", [], "A", "why", ["f"]), (8, "markers_add", [1], "A", "why", ["f"]),
     ]
-    decisions = spark.createDataFrame(rows, S.DECISION.replace("rationale string, features array<string>", "rationale string, features array<string>"))
+    decisions = spark.createDataFrame(rows, "line long, action string, groups array<int>, label string, rationale string, features array<string>")
     groups = spark.createDataFrame([(i,) for i in (1, 2, 3)], "grp int")
     got = {(r.line, r.reason) for r in R.refusals(decisions, groups).collect()}
     assert {line for line, _ in got} == {2, 3, 4, 5, 6, 8}
