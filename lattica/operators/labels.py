@@ -91,7 +91,8 @@ def bh(tests: DataFrame, family: list[str], p: str = "p", q: str = "q") -> DataF
     some = tests.withColumn("_p", clean)
     by = Window.partitionBy(*family, F.col("_p").isNull()).orderBy("_p")
     size = Window.partitionBy(*family, F.col("_p").isNull())
-    tail = by.rowsBetween(0, Window.unboundedFollowing)
+    # From the largest p down, so that the least of the tail is a running minimum and not made anew for each row.
+    tail = Window.partitionBy(*family, F.col("_p").isNull()).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = some.withColumn("_r", F.rank().over(by) + F.count(F.lit(1)).over(Window.partitionBy(*family, "_p")) - 1).withColumn("_m", F.count(F.lit(1)).over(size))
     value = F.least(F.min(F.col("_p") * F.col("_m") / F.col("_r")).over(tail), F.lit(1.0))
     return ranked.withColumn(q, F.when(F.col("_p").isNotNull(), value)).drop("_p", "_r", "_m")

@@ -136,6 +136,14 @@ def test_within_covariance_takes_every_dimension(spark):
     assert all(abs(c - expected[i, j]) < 1e-5 for (i, j), c in got.items())
 
 
+def test_the_least_of_a_tail_is_a_running_minimum(spark):
+    """A frame that ends at the last row is read anew for each row: quadratic in a family."""
+    tests = spark.range(50).selectExpr("'f' AS family", "id", "id / 50 AS p")
+    plan = L.bh(tests, ["family"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+    assert [r.q for r in L.bh(tests, ["family"]).orderBy("id").collect()] == pytest.approx([min(j / (j + 1) for j in range(i, 50)) for i in range(50)])
+
+
 def test_timestamps_beyond_the_year_9999_and_twelve_digits(spark):
     rows = spark.createDataFrame([(0,), (-1,), (600_000 * 1_000_003,), (1_500_000 * 1_000_003,)], "s long")
     found = [r.at for r in rows.orderBy("s").select(N.utc_timestamp("s").alias("at")).collect()]
