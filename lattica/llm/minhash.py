@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lattica.llm.common import Memo, durable, worker_kept
+from lattica.llm.common import Memo, durable, release, worker_kept
 
 WORDS, SKETCH, LEAST_SHARED = 5, 64, 24
 #: Linked: 100 * intersection >= PERCENT * union.
@@ -53,6 +53,8 @@ PAIRED = 12
 JOINED_LEVELS = 3
 #: A hub's set is copied once for so many nodes that meet it.
 SPREAD = 4_096
+#: Words of 64 bits, at most, of the filter that tells texts which may be needed from all others.
+FILTER_WORDS = 1 << 20
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -115,13 +117,28 @@ def _set_id(sets: pd.Series) -> pd.Series:
     return pd.Series([xxhash.xxh3_128_digest(s) for s in sets], dtype=object)
 
 
+def _possible(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys``: all that are, and few others (a Bloom filter of one hash).
+
+    The filter is broadcast, at most ``FILTER_WORDS`` rows of it whatever the input, so that a join after it
+    shuffles the rows it needs and not the whole table.
+    """
+    code = F.xxhash64(key)
+    word = F.pmod(code, F.lit(FILTER_WORDS)).alias("_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(code, 58).cast("int"))
+    words = keys.select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.select("*", word).join(F.broadcast(words), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _sets(wanted: DataFrame, base: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes; rows that share an identifier are told apart by their sets."""
-    named = base.join(wanted.where("lead is not null").select("lead").distinct(), "lead").unionByName(base.where("lead is null"))
-    found = durable(named.select("lead", _full_set("text").alias("shingles")).withColumn("set_id", _set_id("shingles")))
-    same = F.col("w.set_id") == F.col("f.set_id")
-    both = found.alias("f").join(wanted.alias("w"), same & F.col("f.lead").eqNullSafe(F.col("w.lead")))
-    return both.select("node", "shingles").dropDuplicates(["node"])
+    """(node, shingles) of the wanted nodes, one for each set; rows that share an identifier are told apart by their sets."""
+    leads = wanted.where("lead is not null").select("lead").distinct()
+    named = _possible(base, leads, "lead").unionByName(base.where("lead is null"))
+    found = durable(named.select(_full_set("text").alias("shingles")).withColumn("set_id", _set_id("shingles")))
+    sets = durable(found.dropDuplicates(["set_id"]).join(wanted.select("set_id", "node"), "set_id").select("node", "shingles"))
+    release(found)
+    return sets
 
 
 @F.pandas_udf(T.BooleanType())
@@ -200,15 +217,17 @@ def _lists(nodes: DataFrame) -> DataFrame:
 
     ``weight`` is how common a node's retained values are: the higher, the more central.
     """
-    retained = nodes.select("node", "n_shingles", F.size("sketch").alias("retained"), F.explode("sketch").alias("value"))
+    sizes = nodes.select("node", "n_shingles", F.size("sketch").alias("retained"))
+    retained = nodes.select("node", F.explode("sketch").alias("value"))
     counts = retained.groupBy("value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = retained.join(counts, "value")
     large = F.col("n_shingles") > int(SKETCH * PERCENT / 100)
     enters = F.when(large, F.col("retained") - (LEAST_SHARED - 1)).otherwise(F.col("n_shingles") - F.ceil(F.col("n_shingles") * F.lit(PERCENT) / 100) + 1)
     alone = F.col("retained") - F.size("held")
     mine = (
-        shared.groupBy("node", "n_shingles", "retained")
+        shared.groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("held"))  # at most a sketch
+        .join(sizes, "node")
         .withColumn("most", (enters - alone).cast("int"))
         .withColumn("weight", F.aggregate("held", F.lit(0.0), lambda t, h: t + F.log(h["held"])) / F.col("retained"))
         .where("most > 0")
@@ -338,18 +357,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = durable(sketch(documents))
     sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = durable(sets.withColumn("node", F.monotonically_increasing_id()))
+    brief = durable(rows.select("doc_id", "n_shingles", "set_id"))
+    release(rows)
     lists = durable(_lists(nodes))
     members = durable(lists.select("node").distinct())
     labels = members.select("node", F.col("node").alias("label"))
-    # Nodes in lists are the only ones whose full sets are ever needed.
-    wanted = members.join(nodes.select("node", "set_id", "lead"), "node")
+    # Nodes in lists are the only ones whose sketches and full sets are needed from here on.
+    listed = durable(nodes.join(members, "node"))
+    names = durable(nodes.select("node", "set_id", "lead"))
+    release(nodes)
+    wanted = listed.select("node", "set_id", "lead")
     base = documents.select(F.col("doc_id").alias("lead"), F.col("text").cast("string").alias("text"))
     if not members.isEmpty():
-        labels = _met(lists, nodes, durable(_sets(wanted, base)), labels)
-    leaders = nodes.select("node", "set_id", "lead").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labels = _met(lists, listed.select("node", "n_shingles", "sketch"), _sets(wanted, base), labels)
+    leaders = names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = leaders.groupBy("label").agg(F.min("lead").alias("component_id"))
     of_set = leaders.join(least, "label").select("set_id", "component_id")
-    joined = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    joined = brief.join(of_set, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 

@@ -252,3 +252,22 @@ def test_empty_tables(spark):
     assert minhash.near_duplicates(df).count() == 0
     assert substring_dedup.dedup(df).count() == 0
     assert imatch.with_fingerprints(df, imatch.lexicon(df), {"text": "f"}).count() == 0
+
+
+def test_only_texts_that_may_be_needed_pass_the_filter(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    wanted = rows.where("doc_id % 100 = 7").select("doc_id")
+    passed = minhash._possible(rows, wanted, "doc_id")
+    assert passed.columns == rows.columns
+    assert passed.join(wanted, "doc_id").count() == 200
+    assert passed.count() < 260
+
+
+def test_only_nodes_of_lists_carry_sketches_on(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(words(rng, 30)) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[0] + " more"), (201, texts[1] + " more")], "doc_id long, text string")
+    met, seen = minhash._met, []
+    monkeypatch.setattr(minhash, "_met", lambda lists, nodes, *rest: seen.append(nodes.count()) or met(lists, nodes, *rest))
+    assert minhash.near_duplicates(docs).where("not kept").count() == 2
+    assert seen == [4]
