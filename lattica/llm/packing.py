@@ -26,7 +26,7 @@ from lattica.llm.common import fresh, in_portions, vocabulary, worker_kept
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose identifiers a worker keeps (about 200 MB) and those that the library
 #: encodes at once.
-CACHED_WORDS, ENCODED_AT_ONCE = 1_000_000, 20_000
+CACHED_WORDS, ENCODED_AT_ONCE = 1_000_000, 4_000
 #: Bytes of identifiers after which a worker hands on what it has encoded.
 HANDED_ON = 4_000_000
 

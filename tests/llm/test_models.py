@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,21 @@ def test_pipeline_stages_against_brute_force(spark, staged):
     assert all(d.columns == docs[0].columns for d in docs[:-1])
     packed = docs[-1].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r.doc_id for r in packed} == set(texts[4]) and all(r.n == r.m for r in packed)
+
+
+def test_pipeline_hands_workers_small_batches(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat('word ', 200000) as text", "'en' as lang", "'s' as source", "1000000L as n_chars").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    try:
+        pieces = dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+        assert docs.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] <= 10_000_000  # 40 MB in one before
+        assert pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).where("n != 200001").isEmpty()
+    finally:
+        spark.conf.set(key, before)
