@@ -112,14 +112,31 @@ def strata(sums: DataFrame, bins: int = 10) -> DataFrame:
     return total.crossJoin(cuts).select("feature", F.size(F.filter("cuts", lambda c: c < F.col("total"))).alias("stratum"))  # cuts are one row
 
 
-def decoys(members: DataFrame, strata_of: DataFrame, draws: int, seed: int = 7) -> DataFrame:
-    """(set, draw, feature): in each stratum as many features as the set has there, least md5 first."""
+def decoys(members: DataFrame, strata_of: DataFrame, draws: int, seed: int = 7, spread: float = 8.0) -> DataFrame:
+    """(set, draw, feature): in each stratum as many features as the set has there, least md5 first.
+
+    Only features whose md5 lies below a bound are ordered: the bound leaves ``spread`` deviations more than are
+    wanted, and is raised where a stratum has kept too few all the same.
+    """
+    spark = members.sparkSession
     placed = members.join(strata_of, "feature")
-    wanted = placed.groupBy("set", "stratum").agg(F.count(F.lit(1)).alias("n"))
-    pool = wanted.join(strata_of, "stratum").crossJoin(F.broadcast(members.sparkSession.range(draws).withColumnRenamed("id", "draw")))
-    key = F.md5(F.concat_ws("|", F.lit(seed), "set", "draw", "feature"))
-    by = Window.partitionBy("set", "draw", "stratum").orderBy(key)
-    return pool.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= F.col("n")).select("set", "draw", "feature")
+    wanted = held(placed.groupBy("set", "stratum").agg(F.count(F.lit(1)).alias("n")))
+    whole = draws * (wanted.agg(F.sum("n")).first()[0] or 0)
+    sizes = strata_of.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"))
+    by = Window.partitionBy("set", "draw", "stratum").orderBy("key")
+    every = F.explode(F.array(*[F.lit(str(i)) for i in range(draws)]))
+    while True:
+        share = (F.col("n") + spread * F.sqrt("n") + 5 * spread) / F.col("of")
+        bound = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 2**32)), 8, "0"))).otherwise("g")
+        bounds = held(wanted.join(sizes, "stratum").select("set", "stratum", "n", bound.alias("bound"), F.concat(F.lit(f"{seed}|"), "set", F.lit("|")).alias("head")))
+        pool = strata_of.withColumn("tail", F.concat(F.lit("|"), "feature")).join(F.broadcast(bounds), "stratum")  # sets by strata
+        dealt = pool.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "set", "feature")  # few rows, but each is drawn many times
+        drawn = dealt.withColumn("draw", every).withColumn("key", F.md5(F.concat("head", "draw", "tail"))).where("key < bound")
+        ranked = drawn.select("set", F.col("draw").cast("long").alias("draw"), "stratum", "feature", "n", "key").withColumn("_r", F.row_number().over(by))
+        found = held(ranked.where(F.col("_r") <= F.col("n")).select("set", "draw", "feature"))
+        if found.count() == whole:
+            return found
+        spread *= 4
 
 
 def matched_test(level: DataFrame, members: DataFrame, strata_of: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
@@ -130,6 +147,7 @@ def matched_test(level: DataFrame, members: DataFrame, strata_of: DataFrame, dra
         grid = level.select("grp").distinct().crossJoin(size)  # groups by sets (and draws)
         return grid.join(summed, ["grp", *keys], "left").select("grp", *keys, (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("e"))
 
+    level, strata_of = held(level.select("grp", "feature", "x")), held(strata_of)
     own = effect(members, ["set"])
     null = effect(decoys(members, strata_of, draws, seed), ["set", "draw"])
     shape = null.groupBy("grp", "set").agg(F.avg("e").alias("m"), F.stddev_samp("e").alias("sd"))

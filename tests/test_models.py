@@ -1,5 +1,6 @@
 """Models against closed forms and planted truths; no Spark needed."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -80,3 +81,33 @@ def test_regions_run_a_hundred_rounds(spark):
     got = {r.obs: r.membership for r in M.regions(points).collect()}
     got = np.array([got[i] for i in range(len(x))])
     assert np.abs(got - fitted(100)).max() < 1e-6 < np.abs(got - fitted(15)).max()
+
+
+def test_decoys_are_the_least_md5_of_each_stratum(spark):
+    """Plain md5 orders; a bound that keeps too few is raised until each stratum has what it needs."""
+    sets = {"a": range(0, 40, 3), "b": [1, 2, 55], "c": range(60)}
+    stratum = {f: f % 2 for f in range(60)}
+    members = spark.createDataFrame([(s, f) for s, fs in sets.items() for f in fs], "set string, feature long")
+    strata_of = spark.createDataFrame(list(stratum.items()), "feature long, stratum int")
+    want = set()
+    for s, fs in sets.items():
+        for d in range(5):
+            for k in (0, 1):
+                pool = sorted((f for f in stratum if stratum[f] == k), key=lambda f: hashlib.md5(f"7|{s}|{d}|{f}".encode()).hexdigest())
+                want |= {(s, d, f) for f in pool[: sum(stratum[f] == k for f in fs)]}
+    for spread in (8.0, 0.05):
+        got = [tuple(r) for r in M.decoys(members, strata_of, 5, spread=spread).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_decoys_are_dealt_to_tasks_before_they_are_drawn(spark):
+    """A small table is one partition, yet its draws are many tasks' work."""
+    members = spark.createDataFrame([("a", f) for f in range(300)], "set string, feature long").coalesce(1)
+    strata_of = spark.createDataFrame([(f, 0) for f in range(3000)], "feature long, stratum int").coalesce(1)
+    group = "decoys-dealt"
+    spark.sparkContext.setJobGroup(group, group)
+    M.decoys(members, strata_of, 20)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) >= 16
