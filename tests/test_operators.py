@@ -148,3 +148,32 @@ def test_timestamps_beyond_the_year_9999_and_twelve_digits(spark):
     rows = spark.createDataFrame([(0,), (-1,), (600_000 * 1_000_003,), (1_500_000 * 1_000_003,)], "s long")
     found = [r.at for r in rows.orderBy("s").select(N.utc_timestamp("s").alias("at")).collect()]
     assert found == ["1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z", "20983-04-20T06:40:00Z", "49503-04-03T04:40:00Z"]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_blocked_neighbours_equal_full_sorts_with_copies_and_bad_vectors(spark, metric):
+    """Ties at the k-th place go to the smaller key, although copies' products differ in their last digits."""
+    rng = np.random.default_rng(4)
+    vec = rng.normal(size=(700, 24)) * rng.lognormal(size=(700, 1))
+    vec[rng.permutation(700)[:300]] = vec[5]
+    vec[[17, 80]] = np.nan
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "obs long, vec array<double>")
+    got = {(r.obs, r["rank"]): (r.other, r.score) for r in G.blocked_top_k(frame, frame, 6, metric, block=300).collect()}
+    far = np.sqrt(((vec[:, None] - vec[None]) ** 2).sum(axis=2))
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    score = far if metric == "l2" else -(unit[:, None] * unit[None]).sum(axis=2)
+    np.fill_diagonal(score, np.nan)
+    want = {}
+    for i, row in enumerate(np.round(score, 12)):
+        for r, j in enumerate([j for j in np.lexsort((np.arange(700), row)) if np.isfinite(row[j])][:6]):
+            want[i, r + 1] = j
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(abs(abs(v[1]) - abs(score[k[0], v[0]])) < 1e-9 for k, v in got.items())
+
+
+def test_the_least_of_a_row_are_found_without_sorting_it():
+    rng = np.random.default_rng(5)
+    rough = rng.normal(size=(40, 5000))
+    scored = []
+    i, j, s = G._least(rough, 8, 1e-11, lambda i, j: scored.append(len(i)) or rough[i, j])
+    assert j.reshape(40, 8).tolist() == np.argsort(rough, axis=1)[:, :8].tolist() and sum(scored) < 40 * 50
