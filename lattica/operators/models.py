@@ -220,25 +220,26 @@ def regions(points: DataFrame, rounds: int = 100) -> DataFrame:
 DENSE_NODES = 4_000
 
 
-#: The block iteration: spare vectors, residual wanted of every pair, products before the first check and at most.
-SPARE, RESIDUAL, FIRST_PRODUCTS, MOST_PRODUCTS = 10, 1e-3, 20, 2560
+#: The block iteration: spare vectors, residual wanted of every pair, products of a cycle and at most.
+SPARE, RESIDUAL, CYCLE, MOST_PRODUCTS = 10, 1e-3, 12, 2560
 
 
-def _gram(vectors: DataFrame, width: int) -> np.ndarray:
-    """Inner products of the columns of (i, v): partial sums where the vectors are."""
+def _gram(vectors: DataFrame, width: int, last: int | None = None) -> np.ndarray:
+    """Inner products of the columns of (i, v) with all or the ``last`` of them: partial sums where the vectors are."""
+    to = last or width
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
+        total = np.zeros((width, to))
         for pdf in batches:
             if len(pdf):
                 x = np.array(pdf["v"].tolist(), float)
-                total += x.T @ x
-        yield pd.DataFrame({"at": np.arange(width * width), "x": total.ravel()})
+                total += x.T @ x[:, width - to :]
+        yield pd.DataFrame({"at": np.arange(width * to), "x": total.ravel()})
 
     rows = vectors.select("v").mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    out = np.zeros(width * width)
+    out = np.zeros(width * to)
     out[rows["at"].to_numpy()] = rows["x"]
-    return out.reshape(width, width)
+    return out.reshape(width, to)
 
 
 def _rotated(vectors: DataFrame, by: np.ndarray) -> DataFrame:
@@ -261,9 +262,10 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
 def leading_pairs(s: DataFrame, count: int) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues of largest magnitude of the symmetric (i, j, s), signed and descending, and (i, v) of their vectors.
 
-    Block power iteration: a product is a join and sums over held tables, and only inner
-    products of the block's columns come to the driver.  Products double until every pair's
-    residual passes; it raises where that doesn't come.
+    Restarted block Krylov spaces: a cycle gathers ``CYCLE`` blocks, each the image of the one before less what lies
+    in earlier ones, and starts the next from the best pairs of all of them.  A product is a join and sums over held
+    tables, and only inner products of columns come to the driver.  It ends when every pair's residual passes and
+    raises where that doesn't come.
     """
     s = held(s)
     nodes = s.select(F.col("i").cast("long").alias("i")).distinct()
@@ -271,32 +273,49 @@ def leading_pairs(s: DataFrame, count: int) -> tuple[np.ndarray, DataFrame]:
     start = F.array(*[F.xxhash64("i", F.lit(c)) / F.lit(2.0**63) for c in range(width)])
     block = held(nodes.select("i", start.alias("v")))
 
-    def product(v: DataFrame) -> DataFrame:
-        met = s.join(v.select(F.col("i").alias("j"), "v"), "j")
-        summed = met.groupBy(F.col("i").cast("long").alias("i")).agg(*[F.sum(F.col("s") * F.col("v")[c]).alias(f"v{c}") for c in range(width)])
-        return held(summed.select("i", F.array(*[f"v{c}" for c in range(width)]).alias("v")))
+    def with_image(space: DataFrame, old: int) -> DataFrame:
+        """(i, v): blocks and images so far, then the last block's image; blocks are the first ``old`` columns."""
+        met = s.join(space.select(F.col("i").alias("j"), F.slice("v", old - width + 1, width).alias("x")), "j")
+        summed = met.groupBy(F.col("i").cast("long").alias("i")).agg(*[F.sum(F.col("s") * F.col("x")[c]).alias(f"v{c}") for c in range(width)])
+        image = summed.select("i", F.array(*[f"v{c}" for c in range(width)]).alias("w"))
+        return held(space.join(image, "i").select("i", F.concat("v", "w").alias("v")))
 
-    done, wanted = 0, FIRST_PRODUCTS
+    done = 0
     while True:
-        while done < wanted:
-            block = product(_rotated(block, _orthonormal(_gram(block, width))))
-            done += 1
-        for _ in range(2):  # the second turn takes off what rounding left in the first
-            block = held(_rotated(block, _orthonormal(_gram(block, width))))
-        image = product(block)
-        both = held(block.join(image.select("i", F.col("v").alias("w")), "i").select("i", F.concat("v", "w").alias("v")))
-        gram = _gram(both, 2 * width)
-        inner, outer = gram[:width, width:], gram[width:, width:]
+        space = with_image(held(_rotated(block, _orthonormal(_gram(block, width)))), width)
+        for blocks in range(1, CYCLE):
+            old, done = blocks * width, done + 1
+            newest = space.select(F.concat(F.slice("v", 1, old), F.slice("v", 2 * old - width + 1, width)).alias("v"))
+            both = _gram(newest, old + width, width)
+            inside = both[:old]
+            left, rest = np.linalg.eigh(both[old:] - inside.T @ inside)
+            rest = rest / np.sqrt(np.where(left > 1e-12 * np.diag(both[old:]).max(), left, np.inf))  # what the blocks hold whole stays zero
+            further = np.zeros((2 * old, width))  # the last image less what the blocks hold of it
+            further[:old], further[-width:] = -inside @ rest, rest
+            turn = np.hstack([np.eye(2 * old)[:, :old], further, np.eye(2 * old)[:, old:]])
+            space = with_image(held(_rotated(space, turn)), old + width)
+        done += 1
+        n = CYCLE * width
+        both = _gram(space, 2 * n)
+        weight, axes = np.linalg.eigh(both[:n, :n])
+        kept = weight > weight.max() * 1e-10  # blocks may span the whole graph
+        axes = axes[:, kept] / np.sqrt(weight[kept])
+        inner = axes.T @ both[:n, n:] @ axes
         value, turn = np.linalg.eigh((inner + inner.T) / 2)
-        few = np.argsort(-np.abs(value), kind="stable")[:count]
-        few = few[np.argsort(-value[few], kind="stable")]
-        value, turn = value[few], turn[:, few]
-        residual = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, outer, turn) - value**2, 0.0))
+        few = np.argsort(-np.abs(value), kind="stable")[:width]
+        ritz = axes @ turn[:, few]
+        best = few[:count]
+        order = np.argsort(-value[best], kind="stable")
+        value, pairs = value[best][order], ritz[:, :count][:, order]
+        outer = np.einsum("ij,ik,kj->j", pairs, both[n:, n:], pairs)
+        residual = np.sqrt(np.maximum(outer - value**2, 0.0))
+        padded = lambda m: np.vstack([m, np.zeros((n, m.shape[1]))])
         if residual.max() <= RESIDUAL:
-            return value, held(_rotated(block, turn))
-        if not np.isfinite(residual).all() or wanted >= MOST_PRODUCTS:
+            return value, held(_rotated(space, padded(pairs)))
+        if not np.isfinite(residual).all() or done >= MOST_PRODUCTS:
             raise ValueError(f"diffusion components didn't converge: residual {residual.max():.2e} after {done} products")
-        wanted, block = wanted * 2, image
+        block = held(_rotated(space, padded(ritz)))
+        width = ritz.shape[1]
 
 
 def _far_pseudotime(s: DataFrame, roots: DataFrame, components: int, used: int) -> DataFrame:
@@ -326,7 +345,7 @@ def pseudotime(kernel: DataFrame, roots: DataFrame, components: int = 15, used:
     """(obs, t): diffusion distance to the nearest root, scaled to its 99th percentile.
 
     The graph's kernel is normalised where it lies; the eigenproblem is dense on the driver
-    up to ``DENSE_NODES`` nodes and a block power iteration over tables beyond.
+    up to ``DENSE_NODES`` nodes and block Krylov spaces over tables beyond.
     """
     q = kernel.groupBy("i").agg(F.sum("w").alias("q"))
     qi, qj = q.select("i", F.col("q").alias("qi")), q.select(F.col("i").alias("j"), F.col("q").alias("qj"))
