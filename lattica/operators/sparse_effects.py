@@ -10,11 +10,17 @@ R-hat compares halves of chains.  Where it warns, the chain whose removal lowers
 What groups share is estimated from tables first: sizes from features that no class holds, a
 background from the groups that a short first pass calls none of a feature's classes in, and how far
 each feature strays beyond its counts' noise.  Features with zero counts in a group take part.  No
-table of features comes to the driver; a task holds one group's markers, bounded by the panel.
+table of features comes to the driver.
+
+Features of the same classes always have the same sum of effects, so a chain needs only the sum of their
+log densities at one value.  Where many share their classes, tasks dealt by classes make that sum a
+piecewise polynomial (to about twelve digits, see ``piece_edges``), and a chain's work and memory follow
+the distinct sets of classes instead of the features.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -31,15 +37,20 @@ CHAINS, WARMUP, DRAWS, FIRST_DRAWS = 4, 500, 1000, 200
 COVERAGE, PURITY, WARN = 0.95, 0.5, 1.1
 LEAST_MARKERS, PSEUDO_GROUPS, SCALE_RANGE = 3, 10.0, (1e-3, 25.0)
 LARGEST_LOG_EFFECT, PIP_TIE = 5.0, 0.01
+#: Coefficients of a piece, and numbers that a table may hold for each of its features.
+TERMS, TABLE_SHARE = 13, 16
+#: Features of a task that makes tables (a set of classes isn't split below ``SPLIT``), and values it computes at a time.
+TABLED, SPLIT, AT_ONCE = 20_000, 500_000, 100_000
 
 CHAIN = "grp int, chain int, draws long, classes array<string>, pip array<double>, theta array<double>, half_mean array<double>, half_var array<double>, choices array<array<double>>"
+CONDENSED = "grp int, feature long, n long, x double, variance double, classes array<string>, pieces binary"
 FIT = "grp int, class string, pip double, fold double, explained double, credible_set int, called boolean, rhat double, bad_chain int"
 
 
 class Incidence:
-    """Which classes hold each feature: pairs sorted by class."""
+    """Which classes hold each feature: pairs sorted by class.  A row may stand for ``count`` features of the same classes."""
 
-    def __init__(self, held_by: list[list[str]]):
+    def __init__(self, held_by: list[list[str]], count: np.ndarray | None = None):
         self.classes = sorted({c for cs in held_by for c in cs})
         at = {c: i for i, c in enumerate(self.classes)}
         pairs = sorted((at[c], f) for f, cs in enumerate(held_by) for c in set(cs))
@@ -47,6 +58,7 @@ class Incidence:
         self.of = np.array([c for c, _ in pairs], np.int64)
         self.begins = np.searchsorted(self.of, np.arange(len(self.classes) + 1))
         self.n_features = len(held_by)
+        self.count = np.ones(self.n_features) if count is None else np.asarray(count, float)
 
     def members(self, c: int) -> np.ndarray:
         return self.feature[self.begins[c] : self.begins[c + 1]]
@@ -59,10 +71,10 @@ class Incidence:
         n = len(self.classes)
         indicator = np.zeros((n, self.n_features))
         indicator[self.of, self.feature] = 1
-        p = indicator.mean(axis=1)
+        p = indicator @ self.count / self.count.sum()
         spread = np.sqrt(np.maximum(p * (1 - p), 0))
         both = spread[:, None] * spread
-        return np.where(both > 0, np.abs(indicator @ indicator.T / self.n_features - p[:, None] * p) / np.where(both > 0, both, 1), 0)
+        return np.where(both > 0, np.abs((indicator * self.count) @ indicator.T / self.count.sum() - p[:, None] * p) / np.where(both > 0, both, 1), 0)
 
 
 class Likelihood:
@@ -71,11 +83,71 @@ class Likelihood:
     def __init__(self, x: np.ndarray, variance: np.ndarray):
         self.x, self.precision = x, 1 / (FREEDOM * variance)
 
-    def __call__(self, eta: np.ndarray, some=slice(None)) -> np.ndarray:
-        return -0.5 * (FREEDOM + 1) * np.log1p((self.x[some] - eta) ** 2 * self.precision[some])
+    def __call__(self, eta: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        x, precision = (self.x, self.precision) if some is None else (self.x[some], self.precision[some])
+        return -0.5 * (FREEDOM + 1) * np.log1p((x - eta) ** 2 * precision)
+
 
+def piece_edges(highest: float, least_variance: float) -> np.ndarray:
+    """Edges of pieces from 0 to the largest sum of effects.
 
-def explained(like: Likelihood, panel: Incidence, theta: np.ndarray) -> np.ndarray:
+    A log density has its poles beside ``x``, at twice the root of its scale: a piece is half that wide,
+    and wider beyond the highest ``x``, so ``TERMS`` terms leave an error of about 1e-12 of the values.
+    """
+    height, edges = 2 * math.sqrt(least_variance), [0.0]
+    while edges[-1] < EFFECTS * math.exp(LARGEST_LOG_EFFECT):
+        edges.append(edges[-1] + math.hypot(height, max(edges[-1] - highest, 0.0)) / 2)
+    return np.array(edges)
+
+
+@functools.cache
+def _nodes() -> tuple[np.ndarray, np.ndarray]:
+    """Chebyshev's nodes between -1 and 1, and the matrix from values there to coefficients of powers."""
+    angle = (np.arange(TERMS) + 0.5) * math.pi / TERMS
+    waves = np.cos(np.outer(np.arange(TERMS), angle)) * (2 / TERMS)
+    waves[0] /= 2
+    powers = np.array([np.pad(np.polynomial.chebyshev.cheb2poly(row), (0, TERMS))[:TERMS] for row in np.eye(TERMS)])
+    return np.cos(angle), powers.T @ waves
+
+
+def pieces(x: np.ndarray, variance: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Coefficients (piece, term) of the features' summed log density."""
+    u, to_powers = _nodes()
+    at = ((edges[:-1] + edges[1:])[:, None] / 2 + np.diff(edges)[:, None] / 2 * u).ravel()
+    values, rows = np.zeros(len(at)), max(AT_ONCE // len(at) // 8, 1) * 8
+    short = -len(x) % 8  # rows of precision 0 add a logarithm of 1
+    x, precision = np.pad(x, (0, short)), np.pad(1 / (FREEDOM * variance), (0, short))
+    for first in range(0, len(x), rows):
+        ratio = x[first : first + rows, None] - at
+        ratio *= ratio
+        ratio *= precision[first : first + rows, None]
+        ratio += 1
+        for _ in range(3):  # a logarithm of eight at once
+            ratio = ratio[0::2] * ratio[1::2]
+        values += np.log(ratio).sum(axis=0)
+    return -0.5 * (FREEDOM + 1) * values.reshape(-1, TERMS) @ to_powers.T
+
+
+class Tabled:
+    """As ``Likelihood``, of features alone (the first rows) and of tables of many (the rest)."""
+
+    def __init__(self, x: np.ndarray, variance: np.ndarray, tables: np.ndarray, edges: np.ndarray):
+        self.alone, self.n, self.tables, self.edges = Likelihood(x, variance), len(x), tables, edges
+        self.centre, self.scale = (edges[:-1] + edges[1:]) / 2, 2 / np.diff(edges)
+
+    def _sums(self, eta: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        at = np.clip(np.searchsorted(self.edges, eta, side="right") - 1, 0, len(self.centre) - 1)
+        powers = np.vander((eta - self.centre[at]) * self.scale[at], TERMS, increasing=True)
+        return np.einsum("ij,ij->i", self.tables[rows, at], powers)
+
+    def __call__(self, eta: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        if some is None:
+            return np.concatenate([self.alone(eta[: self.n]), self._sums(eta[self.n :], np.arange(len(self.tables)))])
+        k = int(np.searchsorted(some, self.n))  # rows of a class are sorted
+        return np.concatenate([self.alone(eta[:k], some[:k]), self._sums(eta[k:], some[k:] - self.n)])
+
+
+def explained(like: Likelihood | Tabled, panel: Incidence, theta: np.ndarray) -> np.ndarray:
     """Each class's share of the log-likelihood that all effects gain: what is lost without its own."""
     eta = panel.etas(theta)
     at = like(eta)
@@ -105,7 +177,7 @@ def slice_on_ellipse(rng: np.random.Generator, z: float, gain, now: float) -> fl
     return z
 
 
-def run_chain(like: Likelihood, panel: Incidence, warmup: int, draws: int, rng: np.random.Generator) -> dict:
+def run_chain(like: Likelihood | Tabled, panel: Incidence, warmup: int, draws: int, rng: np.random.Generator) -> dict:
     """One chain's means; ``choices`` are each effect's mean choice probabilities, matched over the draws."""
     n = len(panel.classes)
     chosen, z = np.full(EFFECTS, n), rng.standard_normal(EFFECTS)
@@ -207,23 +279,67 @@ def called(pip: np.ndarray, share: np.ndarray, within: list[list[int]]) -> int |
     return min((c for c in some if top - pip[c] <= PIP_TIE), key=lambda c: (-share[c], c))
 
 
-def _grid(pdf: pd.DataFrame) -> tuple[Likelihood, Incidence]:
+def _grid(pdf: pd.DataFrame, edges: np.ndarray) -> tuple[Likelihood | Tabled, Incidence]:
+    """The likelihood and the incidence of a group's rows: features alone first, then one table for each set of classes."""
     pdf = pdf.sort_values("feature")
-    return Likelihood(pdf["x"].to_numpy(float), (pdf["v"] + pdf["s2"]).to_numpy(float)), Incidence([list(c) for c in pdf["classes"]])
+    alone, many = pdf[pdf["pieces"].isna()], pdf[pdf["pieces"].notna()]
+    x, variance = alone["x"].to_numpy(float), alone["variance"].to_numpy(float)
+    held_by = [list(c) for c in alone["classes"]]
+    if many.empty:
+        return Likelihood(x, variance), Incidence(held_by)
+    place: dict[tuple, int] = {}
+    of = [place.setdefault(tuple(c), len(place)) for c in many["classes"]]
+    tables, count = np.zeros((len(place), len(edges) - 1, TERMS)), np.zeros(len(place))
+    for at, table, n in zip(of, many["pieces"], many["n"]):
+        tables[at] += np.frombuffer(table, "<f8").reshape(-1, TERMS)
+        count[at] += n
+    return Tabled(x, variance, tables, edges), Incidence(held_by + [list(c) for c in place], np.append(np.ones(len(x)), count))
+
+
+def condensed(markers: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """Rows of features alone and tables of many that share their classes, edges of pieces, and groups.
+
+    A set of classes is tabled where that takes at most ``TABLE_SHARE`` numbers a feature.
+    """
+    rows, groups, highest, least = markers.agg(F.count(F.lit(1)), F.count_distinct("grp"), F.max("x"), F.min(F.col("v") + F.col("s2"))).first()
+    edges = piece_edges(highest, least) if rows else np.zeros(1)
+    enough = max((len(edges) - 1) * TERMS / TABLE_SHARE, 2)
+    each = math.ceil(rows / max(groups, 1))  # features of a group
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["names", "feature"]).reset_index(drop=True)
+        pdf["variance"] = pdf["v"] + pdf["s2"]
+        size = pdf.groupby("names")["feature"].transform("size")
+        alone = pdf[size < enough].assign(n=1, pieces=None)
+        many = []
+        for _, same in pdf[size >= enough].groupby("names", sort=False):
+            found = pieces(same["x"].to_numpy(float), same["variance"].to_numpy(float), edges)
+            many.append((key[0], same["feature"].iat[0], len(same), None, None, same["classes"].iat[0], found.astype("<f8").tobytes()))
+        columns = ["grp", "feature", "n", "x", "variance", "classes", "pieces"]
+        if not many:
+            return alone[columns]
+        many = pd.DataFrame(many, columns=columns).astype({"x": float, "variance": float})
+        return many if alone.empty else pd.concat([alone[columns], many])
+
+    part = F.pmod(F.xxhash64("feature"), F.lit(math.ceil(max(each, 1) / SPLIT)))
+    deal = F.pmod(F.xxhash64("classes", part), F.lit(math.ceil(max(each, 1) / TABLED)))
+    named = markers.select("grp", deal.alias("deal"), F.to_json("classes").alias("names"), F.col("feature").cast("long").alias("feature"), "x", "v", "s2", "classes")
+    return held(named.groupBy("grp", "deal").applyInPandas(table, CONDENSED)), edges, groups
 
 
 def sample(markers: DataFrame, chains: int = CHAINS, warmup: int = WARMUP, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """Fits of ``markers`` (grp, feature, x, v, s2, classes): one task a group and chain, then one a group."""
+    rows, edges, groups = condensed(markers)
 
     def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        like, panel = _grid(pdf)
+        like, panel = _grid(pdf, edges)
         rng = np.random.default_rng(int(hashlib.md5(f"{seed}|{key[0]}|{key[1]}".encode()).hexdigest(), 16))
         found = run_chain(like, panel, warmup, draws, rng)
         row = {"grp": key[0], "chain": key[1], "draws": draws, "classes": panel.classes} | {c: v.tolist() for c, v in found.items()}
         return pd.DataFrame([row])
 
     def pool(key: tuple, runs: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        like, panel = _grid(pdf)
+        like, panel = _grid(pdf, edges)
         n = len(panel.classes)
         runs = runs.sort_values("chain")
         pip, theta = (np.mean(np.stack(runs[c].tolist()), axis=0) for c in ("pip", "theta"))
@@ -244,9 +360,10 @@ def sample(markers: DataFrame, chains: int = CHAINS, warmup: int = WARMUP, draws
         out["credible_set"] = pd.Series(member, dtype="Int32")
         return out.assign(called=[c == best for c in range(n)], rhat=rhat, bad_chain=pd.Series([bad] * n, dtype="Int32"))
 
-    each = markers.withColumn("chain", F.explode(F.array(*[F.lit(i) for i in range(chains)])))
+    # More partitions than chains, and a number that isn't lowered at run time: chains of the same length seldom queue.
+    each = rows.withColumn("chain", F.explode(F.array(*[F.lit(i) for i in range(chains)]))).repartition(min(max(3 * groups * chains, 1), 2000), "grp", "chain")
     runs = held(each.groupBy("grp", "chain").applyInPandas(chain, CHAIN))
-    again = markers.select(F.col("grp").alias("of"), "feature", "x", "v", "s2", "classes")
+    again = rows.withColumnRenamed("grp", "of")
     return held(runs.groupBy("grp").cogroup(again.groupBy("of")).applyInPandas(pool, FIT))
 
 

@@ -79,6 +79,25 @@ def test_effects_are_matched_whatever_their_numbers():
     assert np.allclose(S.matched(reference, turned), reference)
 
 
+def test_chains_over_tables_of_features_go_as_over_the_features(spark):
+    """Rows follow the sets of classes, not the features, and give the same draws; sets of few features stay alone."""
+    rng = np.random.default_rng(7)
+    n = 4000
+    held = [[f"c{f % 5}", f"d{f % 3}"] for f in range(n)] + [["c0"], ["d2"], ["d2"]]
+    y, v = np.array([1.5 * ("c1" in h) for h in held]) + rng.normal(0, 0.5, n + 3), rng.uniform(0.02, 0.4, n + 3)
+    markers = spark.createDataFrame([(1, f, float(y[f]), float(v[f]), 0.05, held[f]) for f in range(n + 3)], "grp int, feature long, x double, v double, s2 double, classes array<string>")
+    rows, edges, groups = S.condensed(markers)
+    found = rows.toPandas()
+    assert groups == 1 and len(found) <= 15 + 3 and found["n"].sum() == n + 3 and found["pieces"].isna().sum() == 3
+    like, panel = S._grid(found, edges)
+    whole, every = S.Likelihood(y, v + 0.05), S.Incidence(held)
+    theta = rng.random(len(panel.classes)) * [0, 0, 1, 1, 3, 30, 0, 400]
+    assert like(panel.etas(theta)).sum() == pytest.approx(whole(every.etas(theta)).sum(), rel=1e-11)
+    assert np.allclose(panel.correlation(), every.correlation(), atol=1e-12) and np.allclose(S.explained(like, panel, theta), S.explained(whole, every, theta))
+    a, b = (S.run_chain(*on, 20, 40, np.random.default_rng(0)) for on in ((like, panel), (whole, every)))
+    assert all(np.allclose(a[k], b[k], atol=1e-8) for k in a)
+
+
 def counts(spark, seed=6, groups=9, n=300):
     """Counts in which group g is up in class g's features; the last group has none, the one before counts without classes."""
     rng = np.random.default_rng(seed)
