@@ -41,6 +41,11 @@ TASK_EDGES = 200_000
 _LABELS = 4096
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffles: tables of nodes are joined in every round, and a broadcast would pass through the driver each time."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
 def _exact(c: Column | int) -> Column:
     return (F.lit(c) if isinstance(c, int) else c).cast("decimal(38,0)")
 
@@ -59,7 +64,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def _sized(labels: DataFrame) -> DataFrame:
     """(node, size, comm) with n, the size of the community."""
-    return labels.join(labels.groupBy("comm").agg(F.sum("size").alias("n")), "comm")
+    return _met(labels, labels.groupBy("comm").agg(F.sum("size").alias("n")), "comm")
 
 
 def _options(edges: DataFrame, labels: DataFrame, rate: int) -> DataFrame:
@@ -69,14 +74,14 @@ def _options(edges: DataFrame, labels: DataFrame, rate: int) -> DataFrame:
     """
     sized = _sized(labels)
     there = sized.select(F.col("node").alias("j"), F.col("comm").alias("at"), F.col("n").alias("n_at"))
-    near = edges.join(there, "j").groupBy(F.col("i").alias("node"), "at", "n_at").agg(F.sum("w").alias("w"))
-    met = near.join(sized.select("node", "size", "comm"), "node")
+    near = _met(edges, there, "j").groupBy(F.col("i").alias("node"), "at", "n_at").agg(F.sum("w").alias("w"))
+    met = _met(near, sized.select("node", "size", "comm"), "node")
     gain = _less(F.col("w"), rate, F.col("size") * F.col("n_at"))
     own = F.col("at") == F.col("comm")
     best = met.groupBy("node").agg(F.max(F.when(own, F.col("w"))).alias("w"), F.max(F.when(~own, F.struct(gain.alias("gain"), (-F.col("at")).alias("to")))).alias("best"))
     alone = F.when(F.col("n") > F.col("size"), F.struct(_exact(0).alias("gain"), (-(F.col("node") * _LABELS + 1 + F.col("turn") % (_LABELS - 1))).alias("to")))
     stay = _less(F.coalesce("w", F.lit(0)), rate, F.col("size") * (F.col("n") - F.col("size")))
-    found = sized.join(best, "node", "left").withColumn("best", F.greatest("best", alone))
+    found = _met(sized, best, "node", "left").withColumn("best", F.greatest("best", alone))
     return held(found.select("node", "size", "comm", "turn", stay.alias("stay"), F.col("best.gain").alias("gain"), (-F.col("best.to")).alias("to")))
 
 
@@ -117,21 +122,21 @@ def local_moves(edges: DataFrame, labels: DataFrame, rate: int, level: int = 0)
 def refined(edges: DataFrame, labels: DataFrame, rate: int, level: int = 0) -> DataFrame:
     """(node, size, comm, part): connected parts of the communities, from single nodes."""
     of = labels.select("node", "comm")
-    inside = edges.join(of.withColumnRenamed("node", "i"), "i").join(of.select(F.col("node").alias("j"), F.col("comm").alias("_c")), "j").where("comm = _c")
+    inside = _met(_met(edges, of.withColumnRenamed("node", "i"), "i"), of.select(F.col("node").alias("j"), F.col("comm").alias("_c")), "j").where("comm = _c")
     inside = held(inside.select("i", "j", "w"))
     tied = inside.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("w"))
-    sized = _sized(labels).join(tied, "node", "left")
+    sized = _met(_sized(labels), tied, "node", "left")
     well = _less(F.coalesce("w", F.lit(0)), rate, F.col("size") * (F.col("n") - F.col("size"))) >= 0
     parts = held(sized.select("node", "size", "comm", well.alias("well"), F.col("node").alias("part"), F.lit(level * REFINE_ROUNDS).alias("turn")))
     for _ in range(REFINE_ROUNDS):
         joins = lambda c: F.pmod(F.xxhash64(c, "turn", F.lit("part")), F.lit(2)) == 0
         size = parts.groupBy("part").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("k"))
-        hosts = parts.where(~joins("part")).select(F.col("node").alias("j"), F.col("part").alias("to")).join(size.select(F.col("part").alias("to"), "n"), "to")
-        single = parts.where(F.col("well") & joins("part")).join(size.where("k = 1").select("part"), "part").select(F.col("node").alias("i"), "size")
-        near = inside.join(single, "i").join(hosts, "j").groupBy("i", "size", "to", "n").agg(F.sum("w").alias("w"))
+        hosts = _met(parts.where(~joins("part")).select(F.col("node").alias("j"), F.col("part").alias("to")), size.select(F.col("part").alias("to"), "n"), "to")
+        single = _met(parts.where(F.col("well") & joins("part")), size.where("k = 1").select("part"), "part").select(F.col("node").alias("i"), "size")
+        near = _met(_met(inside, single, "i"), hosts, "j").groupBy("i", "size", "to", "n").agg(F.sum("w").alias("w"))
         gain = _less(F.col("w"), rate, F.col("size") * F.col("n"))
         best = near.where(gain >= 0).groupBy(F.col("i").alias("node")).agg(F.max(F.struct(gain.alias("gain"), (-F.col("to")).alias("to"))).alias("best"))
-        joined = parts.join(best, "node", "left")
+        joined = _met(parts, best, "node", "left")
         parts = held(joined.select("node", "size", "comm", "well", F.coalesce(-F.col("best.to"), F.col("part")).alias("part"), (F.col("turn") + 1).alias("turn")))
     return parts.select("node", "size", "comm", "part")
 
@@ -210,16 +215,16 @@ def _partition(edges: DataFrame, nodes: DataFrame, resolution: float) -> DataFra
         if max(edges.count(), labels.count()) <= TASK_EDGES:
             one = F.lit(0)
             small = labels.groupBy(one.alias("k")).cogroup(edges.groupBy(one.alias("k"))).applyInPandas(lambda a, b: in_one_task(a, b, rate), "node long, comm long")
-            return held(member.join(small.withColumnRenamed("node", "part"), "part").select("node", "comm"))
+            return held(_met(member, small.withColumnRenamed("node", "part"), "part").select("node", "comm"))
         labels, _ = local_moves(edges, labels, rate, level)
         parts = refined(edges, labels, rate, level)
         before, after = parts.agg(F.count(F.lit(1)), F.count_distinct("part")).first()
         if before == after:
-            return held(member.join(labels.select(F.col("node").alias("part"), "comm"), "part").select("node", "comm"))
+            return held(_met(member, labels.select(F.col("node").alias("part"), "comm"), "part").select("node", "comm"))
         to = parts.select(F.col("node").alias("i"), F.col("part").alias("pi"))
-        joined = edges.join(to, "i").join(to.select(F.col("i").alias("j"), F.col("pi").alias("pj")), "j").where("pi != pj")
+        joined = _met(_met(edges, to, "i"), to.select(F.col("i").alias("j"), F.col("pi").alias("pj")), "j").where("pi != pj")
         edges = held(joined.groupBy(F.col("pi").alias("i"), F.col("pj").alias("j")).agg(F.sum("w").alias("w")))
-        member = held(member.join(parts.select(F.col("node").alias("part"), F.col("part").alias("_p")), "part").select("node", F.col("_p").alias("part")))
+        member = held(_met(member, parts.select(F.col("node").alias("part"), F.col("part").alias("_p")), "part").select("node", F.col("_p").alias("part")))
         labels = held(parts.groupBy(F.col("part").alias("node")).agg(F.sum("size").alias("size"), F.first("comm").alias("comm")))
         level += 1
 
@@ -237,12 +242,12 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: fl
     asked = every.distinct() if nodes is None else nodes.select(F.col("node").cast("long").alias("node")).where("node is not null").distinct()
     known = held(asked)
     if nodes is not None:  # edges to nodes that aren't asked for count for nothing
-        graph = held(graph.join(known.select(F.col("node").alias("i")), "i", "left_semi").join(known.select(F.col("node").alias("j")), "j", "left_semi"))
+        graph = held(_met(_met(graph, known.select(F.col("node").alias("i")), "i", "left_semi"), known.select(F.col("node").alias("j")), "j", "left_semi"))
 
     def labelled(rate: float) -> tuple[DataFrame, int]:
         found = _partition(graph, known, rate)
         groups = held(found.groupBy("comm").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("label")).where(F.col("n") >= smallest))
-        return held(found.join(groups.select("comm", "label"), "comm", "left").select("node", "label")), groups.count()
+        return held(_met(found, groups.select("comm", "label"), "comm", "left").select("node", "label")), groups.count()
 
     best, n = labelled(resolution)
     if wanted is None:

@@ -112,3 +112,10 @@ def test_quality_is_exact_and_no_node_gains_by_a_move(spark, seed):
                 seen.add(x)
                 queue += near.get(x, set()) & nodes
         assert seen == nodes
+
+
+def test_tables_of_nodes_are_not_broadcast(spark):
+    """Each round joins them, and a broadcast passes through the driver."""
+    nodes = C.held(spark.range(200).selectExpr("id AS node", "1L AS size", "id % 9 AS comm"))
+    plan = C._sized(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
