@@ -38,6 +38,14 @@ def test_repeated_keys_align_by_occurrence(spark):
     assert got == {("a", 1, 10), ("a", 2, 20), ("b", 3, 30), ("b", 3, 40)}
 
 
+def test_pairs_of_a_repeated_key_are_made_by_many_tasks(spark):
+    left = spark.range(40).selectExpr("CAST(id % 2 AS STRING) AS k", "id AS x")
+    right = spark.range(6).selectExpr("CAST(id > 3 AS INT) AS k", "id AS y").selectExpr("CAST(k AS STRING) AS k", "y")
+    rows = L.align_repeats(left, right, "k", "x", "y").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.k, r.x, r.y) for r in rows) == sorted((str(x % 2), x, y) for x in range(40) for y in range(6) if str(x % 2) == str(int(y > 3)))
+    assert len({r.task for r in rows if r.k == "0"}) > 3
+
+
 def test_closure_and_reduction(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (1, 4)], "a int, b int")
     reduced = {tuple(r) for r in G.reduction(edges).collect()}
