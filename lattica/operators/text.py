@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.sources.shared import held
+
 #: Letters and digits with inner apostrophes, stops and underscores.
 WORD = r"[\p{L}\p{N}]+(?:['’._][\p{L}\p{N}]+)*"
 
@@ -48,12 +50,32 @@ def df_histogram(df: DataFrame, n_docs: int, bins: int = 24) -> DataFrame:
     return df.groupBy(F.least(F.floor(F.log10("df") / width + F.lit(1e-9)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("words"))
 
 
+#: The most frequent words, whose df goes to every task.
+COMMON = 200_000
+
+
 def tfidf_top(docs: DataFrame, df: DataFrame, n_docs: int, k: int) -> DataFrame:
-    """(doc, rank, word, weight): (1 + ln count) * ln((1 + N) / (1 + df)), the k largest."""
-    counts = docs.select("doc", F.explode(tokens("text")).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
-    weight = (1 + F.log("tf")) * F.log(F.lit(1.0 + n_docs) / (1 + F.col("df")))
+    """(doc, rank, word, weight): (1 + ln count) * ln((1 + N) / (1 + df)), the k largest.
+
+    Texts are dealt by document once and their words counted and ranked where they lie.  The df of the
+    ``COMMON`` most frequent words is broadcast; where there are more words, the others' weights have
+    bounds, and only words that may be among the k largest meet their df by a shuffle.
+    """
+    df = held(df)
+    common = held(df.orderBy(F.desc("df"), "word").limit(COMMON))
+    cut, n_common = common.agg(F.min("df"), F.count(F.lit(1))).first()
+    weight = lambda d: (1 + F.log("tf")) * F.log(F.lit(1.0 + n_docs) / (1 + d))
+    counts = docs.repartition("doc").select("doc", F.explode(tokens("text")).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
+    if n_common < COMMON:
+        found = counts.join(F.broadcast(common), "word")
+    else:
+        bounds = counts.join(F.broadcast(common), "word", "left").withColumn("low", F.round(weight(F.coalesce("df", F.lit(cut))), 9))
+        at = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("low")))
+        kth = F.max(F.when(F.col("at") == k, F.col("low"))).over(Window.partitionBy("doc"))
+        near = bounds.withColumn("at", at).withColumn("kth", kth).where(F.col("kth").isNull() | (F.round(weight(F.coalesce("df", F.lit(1))), 9) >= F.col("kth")))
+        found = near.select("doc", "word", "tf").join(df, "word")
     by = Window.partitionBy("doc").orderBy(F.desc(F.round("weight", 9)), "word")
-    scored = counts.join(df, "word").withColumn("weight", weight).where("weight > 0")
+    scored = found.withColumn("weight", weight(F.col("df"))).where("weight > 0")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("doc", "rank", "word", "weight")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattica.operators import text as X
 from lattica.plans.expression import r6
 from lattica.sources import tables as T
+from lattica.sources.shared import held
 from lattica.streaming import windows as S
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -81,8 +82,9 @@ def keyword_scores(spark, d):
     SELECT doc_id AS doc, e.word FROM documents JOIN e USING (source) WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.doc = doc_id AND tok.word = e.word)""")
 def anti_join_own_words(spark, d):
     docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("grp"))
-    shown = X.keyword_scores(docs, _top(spark, d)).select("grp", "word")
-    own = _docs(spark, d).select("doc", F.explode(X.tokens("text")).alias("word")).distinct()
+    shown = held(X.keyword_scores(docs, _top(spark, d)).select("grp", "word"))
+    # Only words that are shown are kept of the texts, before any shuffle (the table's size is known, as it is held).
+    own = _docs(spark, d).select("doc", F.explode(X.tokens("text")).alias("word")).join(shown.select("word"), "word", "left_semi").distinct()
     return docs.join(shown, "grp").select("doc", "word").join(own, ["doc", "word"], "left_anti")
 
 

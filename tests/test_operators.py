@@ -185,3 +185,22 @@ def test_the_least_of_a_row_are_found_without_sorting_it():
     scored = []
     i, j, s = G._least(rough, 8, 1e-11, lambda i, j: scored.append(len(i)) or rough[i, j])
     assert j.reshape(40, 8).tolist() == np.argsort(rough, axis=1)[:, :8].tolist() and sum(scored) < 40 * 50
+
+
+def test_rare_words_are_ranked_as_if_all_df_were_known(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in rng.zipf(1.3, 40) % 400) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, ""), (61, None)], "doc long, text string")
+    df = X.document_frequency(docs)
+    rows = lambda: sorted(map(tuple, X.tfidf_top(docs, df, 62, 5).collect()))
+    whole = rows()
+    assert len(whole) == 300
+    for common in (3, 30):  # so many df are broadcast
+        monkeypatch.setattr(X, "COMMON", common)
+        assert rows() == whole
+
+
+def test_words_are_ranked_with_one_shuffle_of_the_texts(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (2, "other words")], "doc long, text string")
+    plan = X.tfidf_top(docs, X.document_frequency(docs), 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
