@@ -139,17 +139,71 @@ def decoys(members: DataFrame, strata_of: DataFrame, draws: int, seed: int = 7,
         spread *= 4
 
 
+#: Levels that a task of the matched test holds.
+LEVELS_A_TASK = 1 << 19
+
+
+def _drawn_sums(draws: int, seed: int):
+    """Of a part of a stratum's features: each group's summed levels over what falls there of every set's draws."""
+
+    def sums(levels: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        features, row = np.unique(levels["feature"].to_numpy(), return_inverse=True)
+        known = levels["grp"].notna().to_numpy()
+        groups, column = np.unique(levels["grp"].to_numpy()[known], return_inverse=True)
+        x = np.zeros((len(features), len(groups)))
+        x[row[known], column] = levels["x"].to_numpy(float)[known]
+        sets, totals = [], []
+        for w in wanted.sort_values("set").itertuples(index=False) if len(features) and len(groups) else ():
+            key = f"{seed}|{w.set}|{w.at}"
+            stream = lambda *part: np.random.default_rng(int(hashlib.md5("|".join([key, *map(str, part)]).encode()).hexdigest(), 16))  # noqa: B023, E731
+            parts = np.asarray(w.sizes, np.int64)
+            # Every part of the stratum finds the same shares of a draw, and draws its own features.
+            share = stream().multivariate_hypergeometric(parts, min(w.n, parts.sum()), size=draws, method="marginals")[:, list(w.parts).index(w.own)]
+            mine = stream(w.own)
+            totals.append(np.array([x[mine.choice(len(features), k, replace=False, shuffle=False)].sum(axis=0) for k in share.tolist()]))
+            sets.append(w.set)
+        n = len(sets)
+        out = {"set": np.repeat(np.array(sets, object), draws * len(groups)), "draw": np.tile(np.repeat(np.arange(draws), len(groups)), n)}
+        return pd.DataFrame(out | {"grp": np.tile(groups, n * draws), "s": np.concatenate(totals).ravel() if n else np.zeros(0)})
+
+    return sums
+
+
+def matched_sums(level: DataFrame, members: DataFrame, strata_of: DataFrame, draws: int, seed: int = 7) -> DataFrame:
+    """(grp, set, draw, s): levels summed over random sets that have, in each stratum, as many features as the set.
+
+    A stratum's features are dealt by their hash into parts of bounded size.  A draw's features are shared out
+    to the parts as a random set would fall and drawn in each, so no set lies anywhere as rows.
+    """
+    groups = max(1, level.select("grp").distinct().count())
+    sizes = strata_of.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, LEVELS_A_TASK // groups))).alias("of"))
+    pool = held(strata_of.join(sizes, "stratum").select("feature", "stratum", F.pmod(F.xxhash64("feature"), F.col("of")).alias("part")))
+    each = held(pool.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("size")))
+    parts = each.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("part", "size"))).alias("p"))
+    wanted = members.where("set is not null").join(pool.select("feature", "stratum"), "feature").groupBy("set", "stratum").agg(F.count(F.lit(1)).alias("n"))
+    asked = wanted.join(parts, "stratum").select("set", F.col("stratum").alias("at"), "n", F.col("p.part").alias("parts"), F.col("p.size").alias("sizes"), F.explode("p.part").alias("own"))
+    tasks = 4 * int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not lowered at run time: few rows, but much is drawn
+    rows = pool.join(level, "feature", "left").select("stratum", "part", "feature", "grp", "x").repartition(tasks, "stratum", "part")
+    asked = asked.repartition(tasks, "at", "own")
+    kind = level.schema["grp"].dataType.simpleString()
+    met = rows.groupBy("stratum", "part").cogroup(asked.groupBy("at", "own")).applyInPandas(_drawn_sums(draws, seed), f"set string, draw long, grp {kind}, s double")
+    return met.groupBy("grp", "set", "draw").agg(F.sum("s").alias("s"))
+
+
 def matched_test(level: DataFrame, members: DataFrame, strata_of: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
     """(grp, set, effect, z, p): mean level of a set against matched random sets; a flat null gives no z."""
-    def effect(sets: DataFrame, keys: list[str]) -> DataFrame:
-        size = sets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        summed = level.join(sets, "feature").groupBy("grp", *keys).agg(F.sum("x").alias("s"))
-        grid = level.select("grp").distinct().crossJoin(size)  # groups by sets (and draws)
+    level, strata_of = held(level.select("grp", "feature", "x")), held(strata_of)
+    members = held(members.select("set", "feature"))
+    groups = level.select("grp").distinct()
+
+    def means(summed: DataFrame, size: DataFrame, keys: list[str]) -> DataFrame:
+        grid = groups.crossJoin(size)  # groups by sets (and draws)
         return grid.join(summed, ["grp", *keys], "left").select("grp", *keys, (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("e"))
 
-    level, strata_of = held(level.select("grp", "feature", "x")), held(strata_of)
-    own = effect(members, ["set"])
-    null = effect(decoys(members, strata_of, draws, seed), ["set", "draw"])
+    of = lambda df: df.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    own = means(level.join(members, "feature").groupBy("grp", "set").agg(F.sum("x").alias("s")), of(members), ["set"])
+    drawn = of(members.join(strata_of.select("feature"), "feature")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    null = means(matched_sums(level, members, strata_of, draws, seed), drawn, ["set", "draw"])
     shape = null.groupBy("grp", "set").agg(F.avg("e").alias("m"), F.stddev_samp("e").alias("sd"))
     z = F.when(F.col("sd") >= 1e-6, (F.col("e") - F.col("m")) / F.col("sd"))
     scored = own.join(shape, ["grp", "set"]).withColumn("z", z)

@@ -17,6 +17,7 @@ from lattica.plans import curation as C
 from lattica.plans import expression as E
 from lattica.plans import graphs as N
 from lattica.sources import tables as T
+from lattica.sources.shared import held
 from lattica.sources.tables import with_inputs
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -42,7 +43,7 @@ def tree_bh_star(spark, d):
 
 
 def _levels(spark, d):
-    sums = E._sums(spark, d)
+    sums = held(E._sums(spark, d))
     level = sums.select("grp", "feature", F.log1p(1e4 * F.col("value") / F.sum("value").over(Window.partitionBy("grp"))).alias("x"))
     return sums, level
 

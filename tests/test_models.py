@@ -111,3 +111,26 @@ def test_decoys_are_dealt_to_tasks_before_they_are_drawn(spark):
     stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) >= 16
+
+
+def test_matched_sums_fall_as_random_sets_do_over_parts_of_strata(spark, monkeypatch):
+    """Each draw has a stratum's features in number, whatever the parts; means and spreads are those of sampling without return."""
+    monkeypatch.setattr(M, "LEVELS_A_TASK", 90)  # three groups: parts of 30 features
+    x = {f: float((f * 37) % 101) for f in range(300)}
+    strata_of = spark.createDataFrame([(f, int(f >= 200)) for f in range(300)], "feature long, stratum int")
+    rows = [(int(f >= 200), f, 1.0) for f in range(300)] + [(2, f, v) for f, v in x.items()]
+    level = spark.createDataFrame(rows, "grp int, feature long, x double")
+    members = spark.createDataFrame([("a", f) for f in range(180, 250)] + [("b", f) for f in range(4)], "set string, feature long")
+    got = M.matched_sums(level, members, strata_of, 400).toPandas()
+    again = M.matched_sums(level.repartition(3), members.repartition(5), strata_of.repartition(2), 400).toPandas()
+    sums = {k: g.sort_values("draw")["s"].to_numpy() for k, g in got.groupby(["grp", "set"])}
+    assert all(np.allclose(g.sort_values("draw")["s"], sums[k]) for k, g in again.groupby(["grp", "set"]))
+    assert (sums[0, "a"] == 20).all() and (sums[1, "a"] == 50).all() and (sums[0, "b"] == 4).all()
+    pools = [np.array([x[f] for f in range(200)]), np.array([x[f] for f in range(200, 300)])]
+    for name, sizes in (("a", (20, 50)), ("b", (4, 0))):
+        mean = sum(n * p.mean() for n, p in zip(sizes, pools))
+        deviation = np.sqrt(sum(n * p.var(ddof=1) * (1 - n / len(p)) for n, p in zip(sizes, pools)))
+        assert len(set(sums[2, name])) > 100
+        assert abs(sums[2, name].mean() - mean) < 4 * deviation / 20 and 0.85 < sums[2, name].std() / deviation < 1.15
+    tested = {(r.grp, r.set): r for r in M.matched_test(level, members, strata_of, 400).collect()}
+    assert tested[0, "a"].z is None and abs(tested[2, "b"].effect - np.mean([x[f] for f in range(4)])) < 1e-12
