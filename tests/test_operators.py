@@ -1,6 +1,8 @@
 """Operators on small literals, with nulls, ties and planted truths."""
 
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +206,24 @@ def test_words_are_ranked_with_one_shuffle_of_the_texts(spark):
     docs = spark.createDataFrame([(1, "some words here"), (2, "other words")], "doc long, text string")
     plan = X.tfidf_top(docs, X.document_frequency(docs), 2, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_wide_blocks_and_single_precision_change_no_neighbour(spark, monkeypatch):
+    """A row goes to fewer blocks where there are many; what single precision would change is sent whole."""
+    assert [G._blocks(n, 8192) for n in (0, 8192, 8193, 60_000, 200_000, 600_000)] == [1, 1, 2, 8, 8, 19]
+    rng = np.random.default_rng(5)
+    vec = {i: (rng.normal(size=6).astype(np.float32).astype(float) if i % 3 else rng.normal(size=6)).tolist() for i in range(150)}
+    points = spark.createDataFrame(list(vec.items()), "obs long, vec array<double>")
+    sent = points.select("obs", *G._sent("vec", "near", "wide")).collect()
+    assert all((r.near is None) == (r.obs % 3 == 0) and (r.near or r.wide) == vec[r.obs] for r in sent)
+    run = lambda block: (
+        sorted(map(tuple, G.blocked_top_k(points, points, 3, "l2", block=block).collect())),
+        sorted(map(tuple, G.csls_top_k(points, 3, 4, block=block).drop("csls").collect())),
+    )
+    one = run(1000)
+    monkeypatch.setattr(G, "MANY", 2)
+    monkeypatch.setattr(G, "ROWS", 7)
+    assert G._blocks(150, 15) == 3 and run(15) == one
+    far = {(a, b): math.dist(vec[a], vec[b]) for a in vec for b in vec if a != b}
+    for obs in range(0, 150, 11):
+        assert [r[2] for r in one[0] if r[0] == obs] == sorted((b for b in vec if b != obs), key=lambda b: (round(far[obs, b], 12), b))[:3]
