@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lattica.sources.shared import held
+from lattica.sources.shared import dropped, held
 
 
 @F.pandas_udf(T.DoubleType())
@@ -278,22 +278,30 @@ DENSE_NODES = 4_000
 SPARE, RESIDUAL, CYCLE, MOST_PRODUCTS = 10, 1e-3, 12, 2560
 
 
-def _gram(vectors: DataFrame, width: int, last: int | None = None) -> np.ndarray:
-    """Inner products of the columns of (i, v) with all or the ``last`` of them: partial sums where the vectors are."""
-    to = last or width
+#: Nodes of a part of a graph; a graph has ``LEAST_PARTS`` at least.  A product copies each part of a block once to each part.
+PART_NODES, LEAST_PARTS = 1 << 17, 4
+
+
+def _matrix(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, float).reshape(-1, width)
+
+
+def _gram(parts: DataFrame, columns: dict[str, int]) -> np.ndarray:
+    """Inner products of the columns of all matrices of a row, side by side: partial sums where the parts are."""
+    width = sum(columns.values())
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, to))
+        total = np.zeros((width, width))
         for pdf in batches:
-            if len(pdf):
-                x = np.array(pdf["v"].tolist(), float)
-                total += x.T @ x[:, width - to :]
-        yield pd.DataFrame({"at": np.arange(width * to), "x": total.ravel()})
+            for row in pdf.itertuples(index=False):
+                x = np.hstack([_matrix(data, w) for data, w in zip(row, columns.values())])
+                total += x.T @ x
+        yield pd.DataFrame({"at": np.arange(width * width), "x": total.ravel()})
 
-    rows = vectors.select("v").mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    out = np.zeros(width * to)
+    rows = parts.select(*columns).mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(width * width)
     out[rows["at"].to_numpy()] = rows["x"]
-    return out.reshape(width, to)
+    return out.reshape(width, width)
 
 
 def _rotated(vectors: DataFrame, by: np.ndarray) -> DataFrame:
@@ -317,40 +325,102 @@ def leading_pairs(s: DataFrame, count: int) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues of largest magnitude of the symmetric (i, j, s), signed and descending, and (i, v) of their vectors.
 
     Restarted block Krylov spaces: a cycle gathers ``CYCLE`` blocks, each the image of the one before less what lies
-    in earlier ones, and starts the next from the best pairs of all of them.  A product is a join and sums over held
-    tables, and only inner products of columns come to the driver.  It ends when every pair's residual passes and
-    raises where that doesn't come.
+    in the last two, and starts the next from the best pairs of all of them.  Nodes are dealt into parts and a block is
+    a row of packed numbers for each part, so a product is one join of parts with cells of the matrix and sums of parts;
+    a step writes its own block, its forerunner and its image, and only inner products of columns come to the driver.
+    Tables of a cycle are deleted at its end.  It ends when every pair's residual passes and raises where that doesn't come.
     """
     s = held(s)
     nodes = s.select(F.col("i").cast("long").alias("i")).distinct()
-    width = min(count + SPARE, nodes.count())
+    n_nodes = nodes.count()
+    width = min(count + SPARE, n_nodes)
+    n_parts = max(LEAST_PARTS, math.ceil(n_nodes / PART_NODES))
+    dealt = nodes.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(n_parts)).cast("int"))
+    placed = held(dealt.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy("i")) - 1))
     start = F.array(*[F.xxhash64("i", F.lit(c)) / F.lit(2.0**63) for c in range(width)])
-    block = held(nodes.select("i", start.alias("v")))
 
-    def with_image(space: DataFrame, old: int) -> DataFrame:
-        """(i, v): blocks and images so far, then the last block's image; blocks are the first ``old`` columns."""
-        met = s.join(space.select(F.col("i").alias("j"), F.slice("v", old - width + 1, width).alias("x")), "j")
-        summed = met.groupBy(F.col("i").cast("long").alias("i")).agg(*[F.sum(F.col("s") * F.col("x")[c]).alias(f"v{c}") for c in range(width)])
-        image = summed.select("i", F.array(*[f"v{c}" for c in range(width)]).alias("w"))
-        return held(space.join(image, "i").select("i", F.concat("v", "w").alias("v")))
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ids": [pdf["i"].to_numpy(np.int64).tobytes()], "v": [np.array(pdf["v"].tolist(), float).tobytes()]})
+
+    begun = held(placed.select("part", "i", start.alias("v")).groupBy("part").applyInPandas(first, "part int, ids binary, v binary"))
+    ids = begun.select("part", "ids")
+    at = lambda c: placed.select(F.col("i").alias(c), F.col("part").alias(f"{c}_part"), F.col("row").alias(f"{c}_row"))
+    entries = s.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "s").join(at("i"), "i").join(at("j"), "j")
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i_row", "j_row"])
+        one = {"i_part": pdf["i_part"].iloc[:1], "j_part": pdf["j_part"].iloc[:1]}
+        return pd.DataFrame(one | {"rows": [pdf["i_row"].to_numpy(np.int32).tobytes()], "cols": [pdf["j_row"].to_numpy(np.int32).tobytes()], "values": [pdf["s"].to_numpy(float).tobytes()]})
 
-    done = 0
+    cells = held(entries.groupBy("i_part", "j_part").applyInPandas(packed, "i_part int, j_part int, rows binary, cols binary, values binary"))
+
+    def with_image(block: DataFrame, width: int) -> DataFrame:
+        """(part, before, cur, image) of (part, before, cur)."""
+
+        def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    rows = np.frombuffer(r.rows, np.int32)
+                    new = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                    product = np.frombuffer(r.values, float)[:, None] * _matrix(r.cur, width)[np.frombuffer(r.cols, np.int32)]
+                    yield pd.DataFrame({"i_part": [r.i_part], "rows": [rows[new].tobytes()], "sums": [np.add.reduceat(product, new).tobytes()]})
+
+        def added(own: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+            image = np.zeros_like(_matrix(own["cur"].iloc[0], width))
+            for rows, part in zip(sums["rows"], sums["sums"]):
+                image[np.frombuffer(rows, np.int32)] += _matrix(part, width)
+            return own.assign(image=[image.tobytes()])
+
+        met = cells.join(block.select(F.col("part").alias("j_part"), "cur").hint("shuffle_hash"), "j_part")
+        sums = met.select("i_part", F.col("rows"), "cols", F.col("values"), "cur").mapInPandas(multiply, "i_part int, rows binary, sums binary")
+        return held(block.groupBy("part").cogroup(sums.groupBy("i_part")).applyInPandas(added, "part int, before binary, cur binary, image binary"))
+
+    def turned(parts: DataFrame, columns: dict[str, int], turns: dict[str, np.ndarray]) -> DataFrame:
+        """The matrices of a row side by side, times each of ``turns``."""
+
+        def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    x = np.hstack([_matrix(data, w) for data, w in zip(row[1:], columns.values())])
+                    yield pd.DataFrame({"part": [row[0]]} | {name: [np.ascontiguousarray(x @ by).tobytes()] for name, by in turns.items()})
+
+        return parts.select("part", *columns).mapInPandas(turn, "part int, " + ", ".join(f"{name} binary" for name in turns))
+
+    block, restarts, done = begun.select("part", "v"), [], 0
     while True:
-        space = with_image(held(_rotated(block, _orthonormal(_gram(block, width)))), width)
-        for blocks in range(1, CYCLE):
-            old, done = blocks * width, done + 1
-            newest = space.select(F.concat(F.slice("v", 1, old), F.slice("v", 2 * old - width + 1, width)).alias("v"))
-            both = _gram(newest, old + width, width)
-            inside = both[:old]
-            left, rest = np.linalg.eigh(both[old:] - inside.T @ inside)
-            rest = rest / np.sqrt(np.where(left > 1e-12 * np.diag(both[old:]).max(), left, np.inf))  # what the blocks hold whole stays zero
-            further = np.zeros((2 * old, width))  # the last image less what the blocks hold of it
-            further[:old], further[-width:] = -inside @ rest, rest
-            turn = np.hstack([np.eye(2 * old)[:, :old], further, np.eye(2 * old)[:, old:]])
-            space = with_image(held(_rotated(space, turn)), old + width)
+        by = _orthonormal(_gram(block, {"v": width}))
+        fresh = held(turned(block, {"v": width}, {"before": np.zeros_like(by), "cur": by}))
+        steps = [with_image(fresh, width)]
+        dropped(fresh, *restarts)
+        for _ in range(1, CYCLE):
+            done += 1
+            columns = {"before": width, "cur": width, "image": width}
+            both = _gram(steps[-1], columns)
+            old = 2 * width
+            inside = np.linalg.pinv(both[:old, :old], rcond=1e-10, hermitian=True) @ both[:old, old:]
+            rest = both[old:, old:] - both[old:, :old] @ inside
+            left, rest = np.linalg.eigh((rest + rest.T) / 2)
+            rest = rest / np.sqrt(np.where(left > 1e-12 * np.diag(both[old:, old:]).max(), left, np.inf))  # what the blocks hold whole stays zero
+            keep = np.vstack([np.zeros((width, width)), np.eye(width), np.zeros((width, width))])
+            fresh = held(turned(steps[-1], columns, {"before": keep, "cur": np.vstack([-inside @ rest, rest])}))
+            steps.append(with_image(fresh, width))
+            dropped(fresh)
         done += 1
         n = CYCLE * width
-        both = _gram(space, 2 * n)
+        every = None
+        for k, step in enumerate(steps):
+            one = step.select("part", F.lit(k).alias("k"), "cur", "image")
+            every = one if every is None else every.unionByName(one)
+
+        def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("k")
+            side = lambda c: np.hstack([_matrix(data, width) for data in pdf[c]]).tobytes()  # noqa: B023, E731
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "space": [side("cur")], "images": [side("image")]})
+
+        space = held(every.groupBy("part").applyInPandas(gathered, "part int, space binary, images binary"))
+        dropped(*steps)
+        both = _gram(space, {"space": n, "images": n})
         weight, axes = np.linalg.eigh(both[:n, :n])
         kept = weight > weight.max() * 1e-10  # blocks may span the whole graph
         axes = axes[:, kept] / np.sqrt(weight[kept])
@@ -363,12 +433,22 @@ def leading_pairs(s: DataFrame, count: int) -> tuple[np.ndarray, DataFrame]:
         value, pairs = value[best][order], ritz[:, :count][:, order]
         outer = np.einsum("ij,ik,kj->j", pairs, both[n:, n:], pairs)
         residual = np.sqrt(np.maximum(outer - value**2, 0.0))
-        padded = lambda m: np.vstack([m, np.zeros((n, m.shape[1]))])
         if residual.max() <= RESIDUAL:
-            return value, held(_rotated(space, padded(pairs)))
+            found = turned(space, {"space": n}, {"v": pairs})
+
+            def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    for names, v in zip(pdf["ids"], pdf["v"]):
+                        yield pd.DataFrame({"i": np.frombuffer(names, np.int64), "v": list(_matrix(v, len(value)))})
+
+            vectors = held(ids.join(found.hint("shuffle_hash"), "part").select("ids", "v").mapInPandas(unpacked, "i long, v array<double>"))
+            dropped(space, cells, begun, placed, s)
+            return value, vectors
         if not np.isfinite(residual).all() or done >= MOST_PRODUCTS:
             raise ValueError(f"diffusion components didn't converge: residual {residual.max():.2e} after {done} products")
-        block = held(_rotated(space, padded(ritz)))
+        block = held(turned(space, {"space": n}, {"v": ritz}))
+        restarts = [block]
+        dropped(space)
         width = ritz.shape[1]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 
 import numpy as np
 
@@ -134,3 +135,28 @@ def test_matched_sums_fall_as_random_sets_do_over_parts_of_strata(spark, monkeyp
         assert abs(sums[2, name].mean() - mean) < 4 * deviation / 20 and 0.85 < sums[2, name].std() / deviation < 1.15
     tested = {(r.grp, r.set): r for r in M.matched_test(level, members, strata_of, 400).collect()}
     assert tested[0, "a"].z is None and abs(tested[2, "b"].effect - np.mean([x[f] for f in range(4)])) < 1e-12
+
+
+def test_leading_pairs_over_parts_leave_only_their_vectors(spark):
+    """Pairs equal numpy's, restarts and all; tables of steps (24 of a cycle stayed, each with all blocks so far) are gone."""
+    rng = np.random.default_rng(12)
+    n = 900
+    i, j = rng.integers(0, n, (2, 9 * n))
+    m = np.zeros((n, n))
+    np.add.at(m, (i, j), rng.random(9 * n))
+    m = (m + m.T) / 2
+    degree = np.maximum(m.sum(axis=1), 1e-9)
+    m = m / np.sqrt(degree[:, None] * degree[None])
+    at = [(int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(m))]
+    s = spark.createDataFrame(at, "i long, j long, s double")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    value, vectors = M.leading_pairs(s, 4)
+    assert len(set(os.listdir(folder)) - before) == 1
+    exact = np.linalg.eigvalsh(m)
+    exact = exact[np.argsort(-np.abs(exact))[:4]]
+    assert np.abs(value - np.sort(exact)[::-1]).max() < 1e-3
+    rows = vectors.collect()
+    v = np.zeros((n, 4))
+    v[[r.i for r in rows]] = [r.v for r in rows]
+    assert len(rows) == n and np.abs(v.T @ v - np.eye(4)).max() < 1e-8 and np.linalg.norm(m @ v - v * value, axis=0).max() < 2e-3
