@@ -481,6 +481,7 @@ def pseudotime(kernel: DataFrame, roots: DataFrame, components: int = 15, used:
     The graph's kernel is normalised where it lies; the eigenproblem is dense on the driver
     up to ``DENSE_NODES`` nodes and block Krylov spaces over tables beyond.
     """
+    kernel = held(kernel)
     q = kernel.groupBy("i").agg(F.sum("w").alias("q"))
     qi, qj = q.select("i", F.col("q").alias("qi")), q.select(F.col("i").alias("j"), F.col("q").alias("qj"))
     k = kernel.join(qi, "i").join(qj, "j").select("i", "j", (F.col("w") / (F.col("qi") * F.col("qj"))).alias("k"))

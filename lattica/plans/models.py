@@ -110,7 +110,7 @@ def diffusion_pseudotime(spark, d):
     v = T.vectors(spark, d)
     first = v.agg(F.min("grp").alias("grp"))
     roots = G.medoids(v.join(first, "grp", "left_semi"))
-    return M.pseudotime(G.gauss_kernel(N._knn(spark, d)), roots)
+    return M.pseudotime(G.gauss_kernel(held(N._knn(spark, d))), roots)  # all pairs are compared once
 
 
 @query("rescored_round", with_inputs("""+ lv AS (SELECT grp, feature, ln(1 + 10000 * value / sum(value) OVER (PARTITION BY grp)) AS x FROM sums),
